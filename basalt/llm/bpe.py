@@ -12,7 +12,6 @@ name of an output column is replaced. Texts of any length are encoded whole, in
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -26,11 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, column
+from .common import ChunkMemo, bound_batches, column
 
-#: Entries of each of the two generations of the memo of spaced chunks in a Python worker, and the
-#: longest chunk it keeps.
-MEMO_ENTRIES, MEMO_CHARS = 300_000, 48
+#: Entries of each generation of the memo of spaced chunks in a Python worker.
+MEMO_ENTRIES = 300_000
 
 
 class PerfectHash:
@@ -79,15 +77,11 @@ class PerfectHash:
         return self.values[s] if self.keys[s] == key else -1
 
 
-class Encoder(dict):
-    """Ids of a text, as little-endian unsigned 32-bit integers. As a dict it keeps, within bounds,
-    the ids of chunks that stand after a space."""
-
-    _blank_run = re.compile(r"\s\s|\A\s|\s\Z")
+class Encoder(ChunkMemo):
+    """The vocabulary: its hash, the ranks of its joins, and each id's bytes."""
 
     def __init__(self, ranks: bytes, pattern: str):
-        super().__init__()
-        self.older: dict[str, bytes] = {}
+        super().__init__(MEMO_ENTRIES)
         pairs = [line.split() for line in ranks.splitlines() if line]
         self.tokens = [base64.b64decode(a) for a, _ in pairs]
         self.ids = [int(b) for _, b in pairs]
@@ -141,24 +135,8 @@ class Encoder(dict):
                 out.extend(self.merge(raw))
         return out
 
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.older.get(chunk)
-        if found is None:
-            found = array("I", self.pieces(f" {chunk}")).tobytes()
-        if len(chunk) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.older = dict(self)
-                self.clear()
-            self[chunk] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """A single space between two other characters always starts a match of the pattern, so a
-        text without runs of white space is the sum of its spaced chunks."""
-        if self._blank_run.search(text):
-            return np.array(self.pieces(text), "<u4").tobytes()
-        head, *rest = text.split(" ")
-        return np.array(self.pieces(head), "<u4").tobytes() + b"".join(map(self.__getitem__, rest))
+    def whole(self, text: str) -> bytes:
+        return array("I", self.pieces(text)).tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -122,6 +123,43 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+class ChunkMemo(dict):
+    """Ids of a text as little-endian unsigned 32-bit integers, by the ids of its spaced chunks.
+
+    A single space between two other characters always starts a match of the pattern that splits
+    text before the merges, so a text without runs of white space is the sum of its spaced chunks.
+    As a dict it keeps the chunks' ids in two generations of ``entries`` at most.
+    """
+
+    #: Longest chunk that is kept.
+    chars = 48
+    _blank_run = re.compile(r"\s\s|\A\s|\s\Z")
+
+    def __init__(self, entries: int):
+        super().__init__()
+        self.entries, self.older = entries, {}
+
+    def whole(self, text: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            found = self.whole(f" {chunk}")
+        if len(chunk) <= self.chars:
+            if len(self) >= self.entries:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        if self._blank_run.search(text):
+            return self.whole(text)
+        head, *rest = text.split(" ")
+        return self.whole(head) + b"".join(map(self.__getitem__, rest))
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
