@@ -89,7 +89,11 @@ class Encoder(ChunkMemo):
         self.find = regex.compile(pattern).findall
         number = dict(zip(self.tokens, self.ids))
         self.byte = [number[bytes([b])] for b in range(256)]
-        self.text = dict(zip(self.ids, self.tokens))
+        self.sizes = np.zeros(max(self.ids) + 1, np.int64)
+        self.begins = np.zeros_like(self.sizes)
+        self.sizes[self.ids] = [len(t) for t in self.tokens]
+        self.begins[self.ids] = np.cumsum([0, *(len(t) for t in self.tokens[:-1])])
+        self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
         #: Rank of joining two adjacent parts, for every split of every token.
         self.join: dict[int, int] = {}
         for token, rank in number.items():
@@ -99,47 +103,65 @@ class Encoder(ChunkMemo):
                     self.join[left << 20 | right] = rank
 
     def merge(self, word: bytes) -> list[int]:
-        """The lowest rank first, at equal ranks the leftmost pair."""
+        """The lowest rank first, at equal ranks the leftmost pair. ``rank[i]`` is that of joining part i
+        with the part after it."""
         ids = [self.byte[b] for b in word]
         n, join = len(ids), self.join.get
-        if n == 1:
+        rank = [join(a << 20 | b) for a, b in zip(ids, ids[1:])]
+        heap = [r << 32 | i for i, r in enumerate(rank) if r is not None]
+        if not heap:
             return ids
+        rank.append(None)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r << 32 | i for i in range(n - 1) if (r := join(ids[i] << 20 | ids[i + 1])) is not None]
         heapify(heap)
         while heap:
             top = heappop(heap)
-            i, rank = top & 0xFFFFFFFF, top >> 32
-            j = after[i]
-            if ids[i] < 0 or j >= n or join(ids[i] << 20 | ids[j]) != rank:
+            i, now = top & 0xFFFFFFFF, top >> 32
+            if rank[i] != now:
                 continue  # one of its parts has changed since
-            ids[i], ids[j] = rank, -1
+            j = after[i]
+            ids[i], ids[j], rank[j] = now, -1, None
             k = after[i] = after[j]
+            r = None
             if k < n:
                 before[k] = i
-                if (r := join(rank << 20 | ids[k])) is not None:
+                r = join(now << 20 | ids[k])
+                if r is not None:
                     heappush(heap, r << 32 | i)
+            rank[i] = r
             h = before[i]
-            if h >= 0 and (r := join(ids[h] << 20 | rank)) is not None:
-                heappush(heap, r << 32 | h)
+            if h >= 0:
+                r = rank[h] = join(ids[h] << 20 | now)
+                if r is not None:
+                    heappush(heap, r << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def pieces(self, text: str) -> list[int]:
-        out: list[int] = []
-        for word in self.find(text):
-            raw = word.encode()
-            at = self.hash.get(raw)
-            if at >= 0:
-                out.append(self.ids[at])
-            else:
-                out.extend(self.merge(raw))
-        return out
+    def resolve(self, word: str) -> bytes:
+        """One match of the pattern, by either tier."""
+        raw = word.encode()
+        at = self.hash.get(raw)
+        return array("I", [self.ids[at]] if at >= 0 else self.merge(raw)).tobytes()
+
+    def spaced(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self.resolve(f" {chunk}")
+        words = self.find(f" {chunk}")
+        return self.resolve(words[0]) if len(words) == 1 else b"".join(map(self.match, words))
+
+    def match(self, word: str) -> bytes:
+        return self[word[1:]] if word[0] == " " and len(word) > 1 and not word.isspace() else self.resolve(word)
 
     def whole(self, text: str) -> bytes:
-        return array("I", self.pieces(text)).tobytes()
+        return b"".join(map(self.match, self.find(text)))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The ids' bytes stand one behind the other in a table; all are gathered at once."""
+        found = np.frombuffer(ids, "<u4")
+        if len(found) and (found.max() >= len(self.sizes) or not self.sizes[found].all()):
+            raise ValueError("an id that the vocabulary lacks")
+        size = self.sizes[found]
+        begin = np.cumsum(size) - size
+        return self.bytes[np.arange(size.sum()) + np.repeat(self.begins[found] - begin, size)].tobytes()
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}  # one for each vocabulary, kept by the worker

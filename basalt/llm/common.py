@@ -142,10 +142,14 @@ class ChunkMemo(dict):
     def whole(self, text: str) -> bytes:
         raise NotImplementedError
 
+    def spaced(self, chunk: str) -> bytes:
+        """Ids of a chunk and the space before it."""
+        return self.whole(f" {chunk}")
+
     def __missing__(self, chunk: str) -> bytes:
         found = self.older.get(chunk)
         if found is None:
-            found = self.whole(f" {chunk}")
+            found = self.spaced(chunk)
         if len(chunk) <= self.chars:
             if len(self) >= self.entries:
                 self.older = dict(self)
