@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing
+from . import bpe, kdtree, langid, packing
 from .common import table
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return kdtree.search(vectors, F.col("vec_id") % 100 == 0, 10)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
     learned = langid.train(docs.filter(~F.col("held_out")).select("text", "lang"))
@@ -30,8 +35,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_exact_topk": op3_exact_topk,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, min(v) AS v FROM (
+                SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                FROM embeddings
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+            GROUP BY vec_id),
+        s AS (
+            SELECT q.vec_id AS query_id, v.vec_id,
+                   CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(v.v AS DOUBLE[])) AS BIGINT) AS score
+            FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+}
