@@ -12,6 +12,8 @@ single document is its own next one; an empty table gives an empty result. Other
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,27 +27,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
-    """Hashes of the n-word shingles. Hashes of 1, 2, 4 ... words are doubled up to n."""
-    level = F.transform(words(text), lambda w: F.xxhash64(w))
-    out, covered, width = None, 0, 1
-    while covered < n:
-        if n & width:
-            out = level if out is None else _pairs(out, level, covered)
-            covered += width
-        if covered < n:
-            level = _pairs(level, level, width)
-            width *= 2
-    return out
-
-
-def _pairs(left: Column, right: Column, shift: int) -> Column:
-    """Hash of each left entry with the right entry ``shift`` on; where there is none, the left entry is
-    dropped, but a list too short for any pair is hashed whole."""
-    moved = F.slice(right, shift + 1, F.greatest(F.size(right) - shift, F.lit(0)))
-    n = F.least(F.size(left), F.size(moved))
-    joined = F.zip_with(F.slice(left, 1, n), F.slice(moved, 1, n), lambda a, b: F.xxhash64(a, b))
-    return F.when((n <= 0) & (F.size(left) > 0), F.array(F.xxhash64(left))).otherwise(joined)
+    def of(h: Column) -> Column:
+        runs = F.transform(h, lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, n))))
+        whole = F.slice(runs, 1, F.greatest(F.size(h) - (n - 1), F.lit(0)))
+        return F.when((F.size(h) > 0) & (F.size(h) < n), F.array(F.xxhash64(h))).otherwise(whole)
+
+    return let(F.transform(words(text), lambda w: F.xxhash64(w)), of)
 
 
 def sketch(text: Column, k: int = K, n: int = SHINGLE) -> Column:
@@ -81,15 +74,18 @@ def distinct(a: Column, k: int = K) -> Column:
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Estimated Jaccard similarity of what two sketches stand for, from 0 to 1."""
-    both = merged(a, b, k)
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), both)).cast("double")
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared / F.greatest(F.size(both), F.lit(1)))
+
+    def of(both: Column) -> Column:
+        shared = F.size(F.array_intersect(F.array_intersect(a, b), both)).cast("double")
+        return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared / F.greatest(F.size(both), F.lit(1)))
+
+    return let(merged(a, b, k), of)
 
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
     """Estimated part of a's shingles that b has, from 0 to 1."""
-    union = distinct(merged(a, b, k), k)
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), resemblance(a, b, k) * union / F.greatest(distinct(a, k), F.lit(1.0))))
+    shared = resemblance(a, b, k) * let(merged(a, b, k), lambda u: distinct(u, k))
+    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), shared / F.greatest(distinct(a, k), F.lit(1.0))))
 
 
 def text_of(a: Column) -> Column:
@@ -98,7 +94,7 @@ def text_of(a: Column) -> Column:
 
 
 def following(ids: DataFrame) -> DataFrame:
-    """``doc_id, th`` with ``next_id, next_th`` of the row after it in order, the first after the last.
+    """``ids`` with ``next_id, next_th`` of the row after it in order, the first after the last.
     Only ids move: ranges are numbered, each range knows its own successors, and the ends are joined by a
     list of the ranges' first rows, as long as there are partitions."""
     order = [F.col("doc_id").asc_nulls_last(), F.col("th")]
@@ -110,18 +106,27 @@ def following(ids: DataFrame) -> DataFrame:
     nexts = firsts.select("part", F.coalesce(F.lead("first").over(ends), F.first("first").over(ends)).alias("wrap"))
     linked = ranged.withColumn("after", F.lead(at).over(inside)).join(F.broadcast(nexts), "part")
     found = F.coalesce("after", "wrap")
-    return linked.select("doc_id", "th", found["doc_id"].alias("next_id"), found["th"].alias("next_th"))
+    return linked.select(*ids.columns, found["doc_id"].alias("next_id"), found["th"].alias("next_th"))
 
 
 def edited(docs: DataFrame, k: int = K) -> DataFrame:
     """Every document with its edited text, whose second half (rounded down) is replaced by the first as
     many code points of the next document: ``doc_id, n_chars, text, edited, sketch, edited_sketch,
-    next_sketch``."""
+    next_sketch``.
+
+    Texts are shuffled once, by id, for both joins; what is shuffled anew is the head that replaces."""
     text = F.coalesce("text", F.lit(""))
-    once = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th")).groupBy("doc_id", "th").agg(F.first("text").alias("text"))
-    ids = docs.select("doc_id", F.xxhash64(text).alias("th"), F.char_length(text).alias("n")).distinct()
-    links = following(ids.select("doc_id", "th")).join(ids, ["doc_id", "th"]) if False else following(ids)
-    source = once.select(F.col("doc_id").alias("next_id"), F.col("th").alias("next_th"), F.col("text").alias("next_text"))
+    keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th"))
+    once = keyed.groupBy("doc_id", "th").agg(F.first("text").alias("text"))
+    sizes = keyed.select("doc_id", "th", F.char_length("text").alias("n")).distinct()
     half = F.floor(F.col("n") / 2).cast("int")
-    heads = links.join(source, F.expr("links.next_id <=> source.next_id AND links.next_th = source.next_th")) if False else None
-    raise NotImplementedError
+    links = following(sizes).withColumn("half", half)
+    source = once.select(F.col("doc_id").alias("source_id"), F.col("th").alias("next_th"), "text")
+    heads = links.join(source, F.col("next_id").eqNullSafe(F.col("source_id")) & (links["next_th"] == source["next_th"])).select(
+        F.col("doc_id").alias("of"), F.col("th").alias("of_th"), "n", "half", F.substring("text", F.lit(1), F.col("half")).alias("head"), sketch(F.col("text"), k).alias("next_sketch")
+    )
+    both = once.join(heads, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")))
+    new = F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("half")), "head")
+    return both.select(
+        "doc_id", F.col("n").cast("long").alias("n_chars"), "text", new.alias("edited"), sketch(F.col("text"), k).alias("sketch"), "next_sketch"
+    ).withColumn("edited_sketch", sketch(F.col("edited"), k))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kdtree, langid, packing
+from . import bpe, fingerprint, kdtree, langid, packing
 from .common import table
 
 
@@ -17,6 +17,19 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.search(vectors, F.col("vec_id") % 100 == 0, 10)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.text_of(F.col("sketch")).alias("fingerprint"),
+        fingerprint.text_of(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprint.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprint.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
     learned = langid.train(docs.filter(~F.col("held_out")).select("text", "lang"))
@@ -36,6 +49,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_topk": op3_exact_topk,
+    "op4_fingerprints": op4_fingerprints,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
