@@ -117,16 +117,20 @@ def edited(docs: DataFrame, k: int = K) -> DataFrame:
     Texts are shuffled once, by id, for both joins; what is shuffled anew is the head that replaces."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th"))
-    once = keyed.groupBy("doc_id", "th").agg(F.first("text").alias("text"))
+    # Plain keys, for joins that find the texts where the grouping has put them.
+    no, id_ = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0))
+    once = keyed.groupBy(no.alias("no"), id_.alias("id"), "th").agg(F.first("text").alias("text"))
     sizes = keyed.select("doc_id", "th", F.char_length("text").alias("n")).distinct()
     half = F.floor(F.col("n") / 2).cast("int")
-    links = following(sizes).withColumn("half", half)
-    source = once.select(F.col("doc_id").alias("source_id"), F.col("th").alias("next_th"), "text")
-    heads = links.join(source, F.col("next_id").eqNullSafe(F.col("source_id")) & (links["next_th"] == source["next_th"])).select(
-        F.col("doc_id").alias("of"), F.col("th").alias("of_th"), "n", "half", F.substring("text", F.lit(1), F.col("half")).alias("head"), sketch(F.col("text"), k).alias("next_sketch")
+    links = following(sizes).select(
+        no.alias("of_no"), id_.alias("of_id"), F.col("th").alias("of_th"), "n", half.alias("half"),
+        F.col("next_id").isNull().alias("no"), F.coalesce("next_id", F.lit(0)).alias("id"), F.col("next_th").alias("th"),
+    )
+    head = F.substring("text", F.lit(1), F.col("half")).alias("head")
+    heads = once.join(links, ["no", "id", "th"]).select(
+        F.col("of_no").alias("no"), F.col("of_id").alias("id"), F.col("of_th").alias("th"), "n", "half", head, sketch(F.col("text"), k).alias("next_sketch")
     )
-    both = once.join(heads, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")))
     new = F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("half")), "head")
-    return both.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), "text", new.alias("edited"), sketch(F.col("text"), k).alias("sketch"), "next_sketch"
+    return once.join(heads, ["no", "id", "th"]).select(
+        F.when(~F.col("no"), F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "text", new.alias("edited"), sketch(F.col("text"), k).alias("sketch"), "next_sketch"
     ).withColumn("edited_sketch", sketch(F.col("edited"), k))
