@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, jaccard, kdtree, langid, linededup, packing, substring
+from . import bpe, fingerprint, jaccard, kdtree, langid, linededup, packing, secretscan, substring
 from .common import table
 
 
@@ -44,6 +44,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    each = found.select("doc_id", F.explode_outer("found").alias("c"))
+    return each.select(
+        "doc_id", F.col("c.at").alias("word"), F.sha2(F.col("c.value").cast("binary"), 256).alias("value_sha256"), F.col("c.score").alias("score"), F.col("c.secret").alias("secret")
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
     learned = langid.train(docs.filter(~F.col("held_out")).select("text", "lang"))
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
