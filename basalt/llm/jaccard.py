@@ -29,7 +29,7 @@ from .common import bound_batches, buffers, column, mix, shingles, words, writte
 from .components import components
 
 #: Members of a group, queries that visit a group at a time.
-GROUP, VISITORS = 48, 1024
+GROUP, VISITORS = 128, 1024
 #: A token is common if at least one of so many documents has it; so their number has a bound.
 COMMON = 2000
 #: Ids that are broadcast at most; beyond, the join is a shuffle.
