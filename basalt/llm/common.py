@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one Arrow batch may hold; long texts make batches of few rows.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,7 +98,7 @@ def words(offsets: np.ndarray, data: np.ndarray, lower: bool = False):
     last[ends_row] = inner[ends_row]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     hashes = np.empty(len(begin), np.uint64)
-    step = 1 << 20  # words at a time, to bound memory
+    step = 1 << 17  # words at a time, to bound memory
     for i in range(0, len(begin), step):
         b, e = begin[i : i + step], end[i : i + step]
         lo, hi = b[0], e[-1]
