@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, jaccard, kdtree, langid, linededup, packing, secretscan, substring
+from . import bpe, fingerprint, jaccard, kdtree, langid, licenses, linededup, packing, secretscan, substring
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("path", licenses.document_path())
+    return licenses.scan(docs, licence_file=F.lit(True)).select("doc_id", "licence", "score", "how", "licence_dir")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", "source_doc_id", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -70,6 +75,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_topk": op3_exact_topk,
     "op4_fingerprints": op4_fingerprints,
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 SQL: dict[str, str] = {
+    "op1_license_scan": licenses.sql(),
     "op3_exact_topk": """
         WITH v AS (
             SELECT vec_id, min(v) AS v FROM (
