@@ -11,7 +11,7 @@ smaller id, or above it in its own. Lines are judged on the input, not on what i
 ``min_chars`` code points stay. Null texts count as empty; an empty text has one line, which is empty. Rows
 without an id neither lose lines nor cost others any; rows that repeat an id and a text are not earlier than
 each other. Texts and lines of any length are read whole. Lines are told apart by 63-bit hashes. Other
-columns play no part. An empty table gives an empty result.
+columns pass through in ``rest``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import _R, _R_INVERSE, bound_batches, column, mix, written
 from .substring import batch_of, by_key, packed, texts_of
@@ -250,12 +251,14 @@ def links(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, n_lines, n_removed, source_doc_id, kept`` for every row: the lines that are left, and the least
-    document that has an earlier line for a removed one (null where nothing is removed)."""
+    """``rest, n_lines, n_removed, source_doc_id, kept`` for every row: all its columns but the text as a
+    struct, the lines that are left, and the least document that has an earlier line for a removed one (null
+    where nothing is removed)."""
     bound_batches(docs.sparkSession)
     th = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFF)
-    keyed = docs.select(F.col("doc_id").cast("long"), "text", th.alias("th"))
-    known = keyed.filter(F.col("doc_id").isNotNull())
+    rest = F.struct(*(docs[c] for c in docs.columns if c != "text"))
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", th.alias("th"), rest.alias("rest"))
+    known = keyed.filter(F.col("doc_id").isNotNull()).drop("rest")
     seen = written(occurrences(known, min_chars))
     place = F.struct("doc_id", "at")
     firsts = seen.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -269,7 +272,8 @@ def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     per_doc = late.groupBy("doc_id", F.shiftright("at", 40).alias("th")).agg(
         F.collect_list(F.col("at").bitwiseAND((1 << 40) - 1)).alias("gone"), F.min("source.doc_id").alias("source_doc_id")
     ).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "gone", "source_doc_id")
-    joined = packed(keyed).join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").select("doc_id", "z", "gone", "source_doc_id")
+    joined = packed(keyed).join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").select("rest", "z", "gone", "source_doc_id")
+    schema = T.StructType([keyed.schema["rest"], *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "source_doc_id")), T.StructField("kept", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +285,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
                 totals.append(len(lines))
                 removed.append(len(out))
                 kept.append("\n".join(left))
-            arrays = [column(batch, "doc_id"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), column(batch, "source_doc_id"), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_lines", "n_removed", "source_doc_id", "kept"])
+            arrays = [column(batch, "rest"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), column(batch, "source_doc_id"), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["rest", "n_lines", "n_removed", "source_doc_id", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, n_lines long, n_removed long, source_doc_id long, kept string")
+    return joined.mapInArrow(run, schema)

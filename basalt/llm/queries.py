@@ -19,7 +19,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", "n_removed", "source_doc_id", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return found.select("rest.doc_id", "n_lines", "n_removed", "source_doc_id", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

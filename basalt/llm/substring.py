@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import _R, _R_INVERSE, bound_batches, buffers, column, mix, shingles, words, written
 
@@ -168,15 +169,18 @@ def resolved(rows: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """``doc_id, th, z``: the texts compressed, for the two shuffles that bring them to their runs."""
+    """``doc_id, th, z``: the texts compressed, for the shuffles that bring them to their runs; ``rest``, if
+    there is such a column, goes along."""
+    names = ["doc_id", "th", *(["rest"] if "rest" in docs.columns else [])]
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("z", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             z = pa.array([press((x or "").encode()) for x in column(batch, "text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "th"), z], names=["doc_id", "th", "z"])
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), z], names=[*names, "z"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, z binary")
+    return docs.mapInArrow(run, schema)
 
 
 def texts_of(z: pa.Array) -> list[bytes]:

@@ -1,8 +1,75 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences: five stages, each of which works on what the one before
+it kept. Null and empty texts, repeated rows, extra columns and empty tables pass as the operators define."""
 
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basalt.llm import jaccard, langid, linededup, packing, secretscan
+from basalt.llm.common import table, written
+
+#: Below this score a text's language counts as unknown.
+LEAST_SCORE = 0.2
+#: Ids that are broadcast at most; beyond, the join is a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+#: A text's shingles, edits and learned filters are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose text is in no language: without a letter, or unlike all that is learned from the
+    rows with a language. If none has one, every text with a letter stays."""
+    learned = langid.train(docs.filter(~langid.held_out()).select("text", "lang"))
+    known = F.col("lang_pred") != langid.UNKNOWN if learned.langs else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    found = langid.predict(docs, learned)
+    sure = F.col("score") >= LEAST_SCORE if learned.langs else F.lit(True)
+    return found.filter(known & sure).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated lines out of the texts. A document that loses all of its text so is dropped."""
+    found = linededup.dedup(docs)
+    gone = (F.col("n_removed") > 0) & (F.trim("kept") == "")
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return found.filter(~gone).select(*(new[c].alias(c) if c in new else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays; of equal rows, one."""
+    found = jaccard.join(docs.select("doc_id", "text"))
+    later = written(found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
+    small = later.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(later) if small else later, "doc_id", "left_anti").select(*docs.columns)
+    twice = written(docs.groupBy("doc_id").count().filter(F.col("count") > 1).select("doc_id"))
+    if twice.isEmpty():
+        return kept
+    return kept.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; every document stays."""
+    return secretscan.redacted(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.lit(0).cast("long"))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_scan),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
