@@ -76,28 +76,22 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return min(distance, most + 1)
 
 
-def segments(length: int, edits: int) -> list[tuple[int, int]]:
-    """First and last + 1 of ``edits + 1`` segments of nearly equal length, the longer ones last."""
+def probes(length: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, bool]]:
+    """For lines of the given lengths: ``which`` of them, and of those ``first`` and ``size`` of a substring
+    that may equal segment ``number`` of a line ``gap`` shorter; and whether it is the line's own segment.
+
+    The parts before a segment and behind it hold so few edits that the substring's place is confined."""
     parts = edits + 1
-    short, more = divmod(length, parts)
-    ends = [0]
-    for i in range(parts):
-        ends.append(ends[-1] + short + (i >= parts - more))
-    return list(zip(ends[:-1], ends[1:]))
-
-
-def probes(length: int, edits: int) -> list[tuple[int, int, int, int]]:
-    """``length', number, first, last + 1``: substrings of a line of ``length`` that may equal a segment of a
-    line of ``length'``, which is no longer. The first ``edits + 1`` are its own segments."""
-    out = [(length, i, a, z) for i, (a, z) in enumerate(segments(length, edits))]
-    for short in range(max(edits + 1, length - edits), length + 1):
-        gap = length - short
-        for i, (a, z) in enumerate(segments(short, edits)):
-            left, right = i, edits - i  # edits that the parts before and behind can hold
-            for at in range(max(0, a - left, a + gap - right), min(length - (z - a), a + left, a + gap + right) + 1):
-                if gap or at != a:
-                    out.append((short, i, at, at + z - a))
-    return out
+    for gap in range(parts):
+        short = length - gap
+        base, more = short // parts, short % parts
+        for i in range(parts):
+            size = base + (i >= parts - more)
+            begin = i * base + np.maximum(0, i - (parts - more))
+            for move in range(max(-i, gap - (edits - i)), min(i, gap + edits - i) + 1):
+                at = begin + move
+                which = np.flatnonzero((base > 0) & (at >= 0) & (at + size <= length))
+                yield which, at[which], size[which], gap * parts + i, not gap and not move
 
 
 _powers: tuple[np.ndarray, np.ndarray] | None = None
@@ -171,10 +165,11 @@ def keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                 fresh = np.flatnonzero(~np.isin(block.id, done))
                 done = np.concatenate([done, block.id[fresh]])
                 found: list[tuple[np.ndarray, np.ndarray]] = []
-                for length in np.unique(block.length[fresh]):
-                    at = fresh[block.length[fresh] == length]
-                    for k, (short, i, a, z) in enumerate(probes(int(length), edits)):
-                        found.append((block.hash(block.begin[at] + a, z - a, short * 16 + i + 1), block.id[at] | np.uint64(k > edits)))
+                length, begin, ids = block.length[fresh], block.begin[fresh], block.id[fresh]
+                for which, at, size, number, own in probes(length, edits):
+                    gap, i = divmod(number, edits + 1)
+                    kind = (length[which] - gap) * 16 + i + 1
+                    found.append((block.hash(begin[which] + at, size, kind), ids[which] | np.uint64(not own)))
                 if found:
                     yield batch_of([np.concatenate(x) for x in zip(*found)], ["key", "line"])
 
