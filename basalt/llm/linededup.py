@@ -107,7 +107,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lines:
-    """Distinct long lines of some texts: their code points, places and hashes."""
+    """Lines that aren't empty: their places, hashes and parities."""
 
     def __init__(self, lines: list[str]):
         points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -115,6 +115,9 @@ class Lines:
         self.begin = np.cumsum(self.length) - self.length
         self.sums = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(mix(points) * powers(len(points))[0][: len(points)], out=self.sums[1:])
+        #: Parity of the number of characters in each of 64 classes: an edit changes two bits at most.
+        bits = np.uint64(1) << (mix(points) >> np.uint64(58))
+        self.parity = np.bitwise_xor.reduceat(bits, self.begin) if len(lines) else np.zeros(0, np.uint64)
         #: The lowest bit is left for the role.
         self.id = self.hash(self.begin, self.length, 0) & np.uint64(0xFFFFFFFFFFFFFFFE)
 
@@ -154,7 +157,7 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """``key, line``: a row for each segment (role 0) and further probe (role 1, the line's lowest bit) of each
+    """``key, line, parity``: a row for each segment (role 0) and further probe (role 1, the line's lowest bit) of each
     line; a line once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,38 +167,39 @@ def keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                 block = Lines(list(dict.fromkeys(lines)))
                 fresh = np.flatnonzero(~np.isin(block.id, done))
                 done = np.concatenate([done, block.id[fresh]])
-                found: list[tuple[np.ndarray, np.ndarray]] = []
-                length, begin, ids = block.length[fresh], block.begin[fresh], block.id[fresh]
+                found: list[tuple[np.ndarray, ...]] = []
+                length, begin, ids, parity = block.length[fresh], block.begin[fresh], block.id[fresh], block.parity[fresh]
                 for which, at, size, number, own in probes(length, edits):
                     gap, i = divmod(number, edits + 1)
                     kind = (length[which] - gap) * 16 + i + 1
-                    found.append((block.hash(begin[which] + at, size, kind), ids[which] | np.uint64(not own)))
+                    found.append((block.hash(begin[which] + at, size, kind), ids[which] | np.uint64(not own), parity[which]))
                 if found:
-                    yield batch_of([np.concatenate(x) for x in zip(*found)], ["key", "line"])
+                    yield batch_of([np.concatenate(x) for x in zip(*found)], ["key", "line", "parity"])
 
-    return docs.mapInArrow(run, "key long, line long")
+    return docs.mapInArrow(run, "key long, line long, parity long")
 
 
-def meetings(rows: DataFrame) -> DataFrame:
-    """``a, b``: lines of which one's segment meets a segment or probe of the other."""
+def meetings(rows: DataFrame, edits: int) -> DataFrame:
+    """``a, b``: lines of which one's segment meets a segment or probe of the other, unless their parities
+    differ by more than the edits can."""
 
-    def of_runs(key: np.ndarray, line: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def of_runs(key: np.ndarray, line: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         length = np.diff(np.append(start, len(key)))
         found: list[np.ndarray] = []
         pending = 0
         for at, n in zip(start[length > 1], length[length > 1]):
-            run = np.unique(line[at : at + n])
-            of, probe = run & ~np.int64(1), run & 1
-            own = of[probe == 0]
-            every = np.unique(of)
-            if not len(own) or len(every) < 2:
+            run, where = np.unique(line[at : at + n], return_index=True)
+            of, sign = run & ~np.int64(1), parity[at : at + n][where]
+            own = np.flatnonzero(run & 1 == 0)
+            if not len(own) or of[0] == of[-1]:
                 continue
             for a in range(0, len(own), 512):
-                left, right = np.repeat(own[a : a + 512], len(every)), np.tile(every, len(own[a : a + 512]))
-                low, high = np.minimum(left, right), np.maximum(left, right)
-                found.append(np.unique(np.column_stack([low, high])[low < high], axis=0))
-                pending += len(found[-1])
+                part = own[a : a + 512]
+                i, j = np.nonzero((np.bitwise_count(sign[part, None] ^ sign[None]) <= 2 * edits) & (of[part, None] != of[None]))
+                left, right = of[part[i]], of[j]
+                found.append(np.column_stack([np.minimum(left, right), np.maximum(left, right)]))
+                pending += len(i)
             if pending > 1 << 19:
                 yield pairs(found)
                 found, pending = [], 0
@@ -206,7 +210,7 @@ def meetings(rows: DataFrame) -> DataFrame:
         both = np.unique(np.concatenate(found), axis=0)
         return batch_of([both[:, 0], both[:, 1]], ["a", "b"])
 
-    return by_key(rows, "key", ["key", "line"], of_runs, "a long, b long").distinct()
+    return by_key(rows, "key", ["key", "line", "parity"], of_runs, "a long, b long").distinct()
 
 
 def texts_of_lines(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
@@ -230,7 +234,7 @@ def texts_of_lines(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFr
 
 def links(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """``a, b``: different lines within ``edits`` edits."""
-    met = written(meetings(keys(docs, edits, min_chars)))
+    met = written(meetings(keys(docs, edits, min_chars), edits))
     wanted = written(met.select(F.explode(F.array("a", "b")).alias("line")).distinct())
     texts = written(texts_of_lines(docs, wanted, min_chars))
     left = texts.select(F.col("line").alias("a"), F.col("text").alias("left"))
