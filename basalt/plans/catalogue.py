@@ -366,8 +366,8 @@ def content_updated(spark, sf_dir):
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
 def stream_dedup(spark, sf_dir):
     """Batches of the stream run now, and what they have written is read again."""
-    name, schema = f"{sf_dir}/events.parquet", "event_id long, ts timestamp_ntz, user_id long, event_type string"
-    source = ingest.stream(spark, name, schema)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+    source = ingest.stream(spark, f"{sf_dir}/{{events}}.parquet", schema)  # a pattern: one file or a folder
     shared = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='basalt-')}/stream-{uuid.uuid4().hex}"
     once = ingest.deduplicated(source, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type")
     return ingest.drain(once, f"{shared}/out", f"{shared}/checkpoint").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
