@@ -3,8 +3,8 @@
 Tokens are hashes of word n-grams. They have one order: common tokens last, by hash within. Two sets whose
 Jaccard similarity reaches the threshold share a token among their first ones (as many as could be missing
 from a match, and one). Documents with equal sets are one class. Classes are partitioned into groups of
-similar ones: those that share their least common token (least token, where common ones are few), in parts
-of some ``GROUP`` members. The matrix has a row for each first token and group that has it. A class looks
+similar ones: those that share their least common token (least token, where common ones are few) and are
+nearly as large, in parts of some ``GROUP`` members. The matrix has a row for each first token and group that has it. A class looks
 its first tokens up, the hits bound its overlap with anything in a group, and only groups that can still
 reach the threshold are opened: there the bound is checked again against the union of all the group's
 tokens, and what passes is compared with the members exactly.
@@ -17,6 +17,7 @@ length are read whole. Other columns play no part. An empty table gives an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from .components import components
 
 #: Members of a group, queries that visit a group at a time.
 GROUP, VISITORS = 128, 1024
+#: Sizes in a group differ by this factor at most, so that the least size bounds the overlap well.
+BAND = 1.04
 #: A token is common if at least one of so many documents has it; so their number has a bound.
 COMMON = 2000
 #: Ids that are broadcast at most; beyond, the join is a shuffle.
@@ -254,9 +257,10 @@ def links_in(members: pd.DataFrame, visitors: pd.DataFrame, percent: int) -> lis
 
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """``a, b``: links between classes, enough to join all that are connected."""
-    counts = classes.groupBy("theme").agg(F.count("*").alias("_n"))
-    parts = F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / GROUP))
-    grouped = written(classes.join(counts, "theme").withColumn("group", F.xxhash64("theme", parts)).drop("theme", "_n"))
+    banded = classes.withColumn("_band", F.floor(F.log("size") / math.log(BAND)))
+    counts = banded.groupBy("theme", "_band").agg(F.count("*").alias("_n"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / GROUP))
+    grouped = written(banded.join(counts, ["theme", "_band"]).withColumn("group", F.xxhash64("theme", "_band", part)).drop("theme", "_band", "_n"))
     met = hits(matrix_rows(grouped.select("group", "node", "size", "tokens")), percent)
     total = met.groupBy("node", "size", "group").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
     n_q, low = F.col("size"), F.greatest("low", F.ceil(F.col("size") * percent / 100))
