@@ -106,15 +106,18 @@ def expression(model: RandomForestClassificationModel | None, of: str = "c") ->
 def scan(docs: DataFrame, path: str = "source") -> DataFrame:
     """``docs`` with ``found``: an array of ``at`` (number of the word), ``value``, ``label``, ``score`` and
     ``secret`` for each candidate in the text."""
-    rows = candidates(docs.withColumn("path", F.col(path).cast("string")), dictionary(docs))
+    rows = candidates(docs.select(F.struct("*").alias("row"), F.col(path).cast("string").alias("path"), "text"), dictionary(docs))
     scored = expression(train(rows))
     kept = F.expr(f"transform(found, c -> named_struct('at', c.at, 'value', c.value, 'label', c.label, 'score', {scored}))")
     marked = F.expr("transform(found, c -> named_struct('at', c.at, 'value', c.value, 'label', c.label, 'score', c.score, 'secret', c.score >= 0.5))")
-    return rows.withColumn("found", kept).withColumn("found", marked).drop("path")
+    out = rows.withColumn("found", kept).withColumn("found", marked)
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "found"), "found")
 
 
 def redacted(docs: DataFrame, path: str = "source", mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; columns and rows stay."""
     secrets = "array_sort(array_distinct(transform(filter(found, c -> c.secret), c -> c.value)), (a, b) -> length(b) - length(a))"
     clean = F.expr(f"aggregate({secrets}, text, (t, v) -> replace(t, v, '{mark}'))")
-    return scan(docs, path).withColumn("text", clean).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("row"), "text", F.col(path).cast("string").alias("path"))
+    done = scan(whole, "path").withColumn("text", clean)
+    return done.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -1,0 +1,184 @@
+"""The contract queries against plain Python over a small table."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tokenizers
+from pyspark.sql import functions as F
+
+from basalt.llm import bpe, fingerprint, linededup, packing, queries
+
+SPACE = r"[^\x20\x09-\x0D]+"
+
+
+@pytest.fixture(scope="module")
+def docs(spark, small):
+    return [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()]
+
+
+def sha(x):
+    return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+def test_line_dedup(spark, small, docs):
+    first, source = {}, {}
+    for i, t in docs:
+        for k, line in enumerate(t.split("\n")):
+            if len(line) >= linededup.MIN_CHARS:
+                first.setdefault(line, (i, k))
+    source = dict(first)
+    for a in first:
+        for b in first:
+            if abs(len(a) - len(b)) <= 2 and linededup.edit_distance(a, b, 2) <= 2:
+                source[a] = min(source[a], first[b])
+    for r, (i, t) in zip(queries.op2_line_dedup(spark, small).orderBy("doc_id").collect(), docs):
+        lines = t.split("\n")
+        kept = [x for k, x in enumerate(lines) if len(x) < linededup.MIN_CHARS or source[x] >= (i, k)]
+        assert (r.n_lines, r.n_removed, r.kept_sha256) == (len(lines), len(lines) - len(kept), sha("\n".join(kept)))
+
+
+def test_edit_distance():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    r = random.Random(1)
+    for _ in range(3000):
+        a, b = ("".join(r.choices("abc", k=r.randint(0, 9))) for _ in range(2))
+        most = r.randint(1, 4)
+        assert linededup.edit_distance(a, b, most) == min(plain(a, b), most + 1)
+
+
+def shingles(t, n):
+    w = re.findall(SPACE, t)
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def test_fingerprints(spark, small, docs):
+    off = []
+    for k, r in enumerate(queries.op4_fingerprints(spark, small).orderBy("doc_id").collect()):
+        a, b = docs[k][1], docs[(k + 1) % len(docs)][1]
+        half = len(a) // 2
+        edited = a[: len(a) - half] + b[:half]
+        assert (r.n_chars, r.edited_sha256) == (len(a), sha(edited))
+        x, y = shingles(a, 5), shingles(edited, 5)
+        off.append(abs(r.near_edited - (len(x & y) / len(x | y) if x | y else 1.0)))
+    assert max(off) < 0.2 and np.mean(off) < 0.04
+
+
+def test_sketches_merge(spark):
+    rows = [(k, " ".join(str(random.Random(i).random()) for i in range(a, z))) for k, a, z in (("x", 0, 900), ("x", 500, 1500), ("y", 0, 3))]
+    got = {r.k: r.sketch for r in fingerprint.sketch_parts(spark.createDataFrame(rows, "k string, text string"), "k").collect()}
+    assert len(got["x"]) == fingerprint.K and len(got["y"]) == 1
+    n = spark.range(1).select(fingerprint.distinct(F.lit(got["x"])).alias("n")).first().n
+    assert abs(n - 1492) < 450
+
+
+def test_jaccard_join(spark, small, docs):
+    lower = {i: t.translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})) for i, t in docs}
+    sets = {i: shingles(t, 4) for i, t in lower.items()}
+    part = {i: i for i in sets}
+
+    def root(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    ids = sorted(sets)
+    for i in ids:
+        for j in ids:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                part[b] = a
+    for r in queries.op5_jaccard_join(spark, small).collect():
+        assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root(r.doc_id))
+
+
+def test_substring_dedup(spark, small, docs):
+    seen = {}
+    for r, (i, t) in zip(queries.op6_substring_dedup(spark, small).orderBy("doc_id").collect(), docs):
+        w = re.findall(SPACE, t)
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if seen.setdefault(tuple(w[k : k + 13]), i) < i:
+                gone[k : k + 13] = [True] * 13
+        assert (r.n_words, r.n_removed, r.kept_sha256) == (len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g)))
+
+
+def test_secret_scan_finds_the_known_formats(spark, small, docs):
+    known = re.compile(r'AKIA[0-9A-Z]{16}|token = "[0-9a-f]{40}"|password=[0-9a-f]{18}')
+    found = {r.doc_id for r in queries.op7_secret_scan(spark, small).filter("secret").collect()}
+    assert {i for i, t in docs if known.search(t)} == found
+
+
+def test_language_id_held_out(spark, small):
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = queries.op8_language_id(spark, small).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.95
+
+
+def test_packing(spark, small, docs):
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    rows = queries.op9_packing(spark, small).collect()
+    by, sequences = {}, {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for i, text in docs:
+        ids, at = [*t.encode(text, add_special_tokens=False).ids, 0], 0
+        for r in sorted(by[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids)) and zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes()) == r.ids_crc32
+            at += r.length
+        assert at == len(ids)
+    for pieces in sequences.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+
+
+def test_plan_uses_every_piece_once():
+    r = np.random.default_rng(1)
+    histogram = np.bincount(r.integers(1, 1025, 5000), minlength=1025)
+    used = np.zeros_like(histogram)
+    sequences = 0
+    for lengths, times in packing.plan(histogram, 1024):
+        assert sum(lengths) <= 1024
+        sequences += times
+        for n in lengths:
+            used[n] += times
+    # No two pieces over half a window share one.
+    least = max(-(-(histogram * np.arange(1025)).sum() // 1024), histogram[513:].sum())
+    assert (used == histogram).all() and sequences <= 1.005 * least
+
+
+def test_byte_bpe(spark, small, docs):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r, (i, t) in zip(queries.op10_byte_bpe(spark, small).orderBy("doc_id").collect(), docs):
+        ids = core.encode_ordinary(t)
+        assert (r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) == (i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(t))
+    own = bpe.Encoder(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
+    assert all(own.hash.keys[s] == k for s, k in enumerate(own.hash.keys)) and len(set(own.hash.values)) == own.hash.n
+    r = random.Random(2)
+    for _ in range(500):
+        s = "".join(r.choices("ab 's\n\t'lé1２٣¶ 　Ǆx\U0001f600\x85", k=r.randint(0, 40)))
+        assert own.encode(s) == np.array(core.encode_ordinary(s), "<u4").tobytes() and own.decode(own.encode(s)).decode() == s

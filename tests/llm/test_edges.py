@@ -1,0 +1,109 @@
+"""Every operator over rows with nulls, empty and long texts, ties, repeats, extra columns; and over none."""
+
+import random
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from basalt.llm import bpe, fingerprint, jaccard, kdtree, langid, licenses, linededup, packing, queries, secretscan, substring
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, path string, node string, z string, rest string"
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 7))) for _ in range(n))
+
+
+BASE = prose(120, 1)
+ROWS = [
+    (1, BASE, "en", "s"), (2, BASE, "en", "s"), (2, BASE, "en", "s"), (3, None, None, None), (4, "", "en", "s"), (5, "   \n\n ", "de", "t"),
+    (6, BASE.replace(BASE.split()[7], "zzz", 1), "en", "s"), (7, "one two", "de", "s"), (8, prose(6000, 2), "en", "t"), (None, BASE, "en", None), (None, None, None, "t"),
+    (9, "1234 5678 !!", None, "t"), (10, f"head\n{BASE}\npassword=abcdef0123456789abcdef, x", "de", "t"), (11, "Licensed under the Apache License, Version 2.0.\n" + prose(30, 4), "en", "s"),
+    (12, "tab\tsep\x0bvt\x0cff\rcr 東京 naïve 😀", "fr", "t"), (-5, prose(40, 5), "fr", "t"),
+]
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+JSON = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
+RUNS = {
+    "licenses": lambda d: licenses.scan(d, path="source"),
+    "linededup": linededup.dedup,
+    "fingerprint": fingerprint.edited,
+    "jaccard": jaccard.join,
+    "substring": substring.dedup,
+    "secretscan": secretscan.scan,
+    "redacted": secretscan.redacted,
+    "langid": lambda d: langid.predict(d, langid.train(d)),
+    "packing": lambda d: packing.pack_documents(d, *JSON),
+    "bpe": lambda d: bpe.decode(bpe.encode(d, *VOCABULARY), *VOCABULARY),
+}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), 1.0, "p", "n", "z", "r") for r in ROWS], SCHEMA)
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_odd_rows(name, odd):
+    got = RUNS[name](odd).collect()
+    # The edited texts collapse the repeated row; pieces are as many as the lengths ask for.
+    assert len(got) == {"fingerprint": len(ROWS) - 1}.get(name, len(got) if name == "packing" else len(ROWS))
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_no_rows(name, odd):
+    assert RUNS[name](odd.limit(0)).count() == 0
+
+
+def test_jaccard_of_odd_rows(odd):
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.join(odd, n=4, percent=85).collect()}
+    assert {got[i, 117] for i in (1, 2, None)} == {1} and got[6, 117] == 1 and got[3, 0] == 3 and got[7, 1] == 7
+
+
+def test_line_dedup_of_odd_rows(odd):
+    got = {r.rest.doc_id: (r.n_lines, r.n_removed, r.source_doc_id) for r in linededup.dedup(odd).collect()}
+    assert got[1] == (1, 0, None) and got[2] == (1, 1, 1) and got[3] == (1, 0, None) and got[10] == (3, 1, 1) and got[None][1] == 0
+
+
+def test_substring_of_odd_rows(odd):
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.dedup(odd).filter("doc_id is not null").collect()}
+    assert got[1] == (120, 0) and got[2] == (120, 120) and got[3] == (0, 0) and got[6] == (120, 112) and got[7] == (2, 0)
+
+
+def test_language_of_odd_rows(odd):
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(odd, langid.train(odd)).collect()}
+    assert got[3] == got[4] == got[5] == got[9] == ("und", 0.0) and got[1][0] != "und"
+    nothing = langid.train(odd.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
+
+
+def test_secrets_of_odd_rows(odd):
+    got = {r.doc_id: r.text for r in secretscan.redacted(odd).collect()}
+    assert "abcdef0123456789" not in got[10] and got[10].startswith("head\n") and got[1] == BASE and got[3] is None
+
+
+def test_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (None, [1.0, 1.0]), (100, [0.5, 0.5]), (6, [-1.0, -1.0])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
+    got = sorted(map(tuple, kdtree.search(df, F.col("vec_id") % 100 == 0, 2).collect()))
+    assert got == [(0, 1, 1, 1024 * 1024), (0, 2, 2, 1024 * 1024), (100, 1, 0, 512 * 1024), (100, 2, 1, 512 * 1024)]
+    assert kdtree.search(df.limit(0), F.col("vec_id") % 100 == 0, 2).count() == 0
+
+
+def test_pipeline(spark, odd, tmp_path):
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        if name != "packing":
+            assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert {1, 8, -5} <= {r.doc_id for r in docs.collect()}
+
+
+def test_sql(compare):
+    for name, sql in queries.SQL.items():
+        compare(queries.QUERIES[name], sql)
