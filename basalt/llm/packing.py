@@ -129,19 +129,13 @@ def plan(histogram: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]
     patterns = combinations(np.flatnonzero(left), window)
     if len(patterns):
         x = repeats(patterns, left)
-        # The longest pieces first, which find a partner hardest; whole counts, then what was rounded off.
-        order = np.lexsort((-x, -patterns.max(1)))
-        for whole in (True, False):
-            for k in order:
-                most = int(x[k]) if whole else 1 << 62
-                if not most:
-                    continue
-                lengths = patterns[k][patterns[k] > 0]
-                kinds, need = np.unique(lengths, return_counts=True)
-                times = min(int((left[kinds] // need).min()), most)
-                if times > 0:
-                    left[kinds] -= need * times
-                    out.append((tuple(int(n) for n in lengths), times))
+        for k in np.lexsort((-x, -patterns.max(1))):  # the longest pieces first, which find a partner hardest
+            lengths = patterns[k][patterns[k] > 0]
+            kinds, need = np.unique(lengths, return_counts=True)
+            times = min(int((left[kinds] // need).min()), round(x[k]))
+            if times > 0:
+                left[kinds] -= need * times
+                out.append((tuple(int(n) for n in lengths), times))
     while left.any():
         lengths: list[int] = []
         taken = np.zeros_like(left)
