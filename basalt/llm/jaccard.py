@@ -219,12 +219,11 @@ def links_in(members: pd.DataFrame, visitors: pd.DataFrame, percent: int) -> lis
     """Links that join what the group's members and visitors reach in it: of several links that would join
     the same parts of the group, one."""
     sets = [np.frombuffer(x, np.uint64) for x in members["tokens"]]
-    nodes = members["node"].tolist()
-    union = np.unique(np.concatenate(sets))
-    matrix = np.zeros((len(sets), len(union)), np.float32)
-    for i, s in enumerate(sets):
-        matrix[i, np.searchsorted(union, s)] = 1
-    sizes = np.array([len(s) for s in sets])
+    nodes, sizes = members["node"].tolist(), np.array([len(s) for s in sets])
+    union, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(union, kind="stable")
+    union, owner = union[order], owner[order]
+    least = needed(sizes.min(), percent)
     part = list(range(len(sets)))
 
     def root(i: int) -> int:
@@ -232,23 +231,25 @@ def links_in(members: pd.DataFrame, visitors: pd.DataFrame, percent: int) -> lis
             i = part[i]
         return i
 
+    def linked(s: np.ndarray) -> np.ndarray:
+        """Members that a set is linked with; none if not even the union of all has enough of it."""
+        begin, end = np.searchsorted(union, s, "left"), np.searchsorted(union, s, "right")
+        n = end - begin
+        if (n > 0).sum() < max(least, needed(len(s), percent)):
+            return np.zeros(0, np.int64)
+        at = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+        shared = np.bincount(owner[at], minlength=len(sets))
+        return np.flatnonzero(100 * shared >= percent * (len(s) + sizes - shared))
+
     out = []
-    shared = (matrix @ matrix.T).round().astype(np.int64)
-    linked = 100 * shared >= percent * (sizes[:, None] + sizes[None] - shared)
-    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
-        if root(i) != root(j):
-            part[max(root(i), root(j))] = min(root(i), root(j))
-            out.append((nodes[i], nodes[j]))
-    least = needed(sizes.min(), percent)
+    for i, s in enumerate(sets):
+        for j in linked(s):
+            if j > i and (a := root(i)) != (b := root(j)):
+                part[max(a, b)] = min(a, b)
+                out.append((nodes[i], nodes[j]))
     for node, raw in zip(visitors["node"], visitors["tokens"]):
-        s = np.frombuffer(raw, np.uint64)
-        at = np.searchsorted(union, s)
-        at = at[(at < len(union)) & (union[np.minimum(at, len(union) - 1)] == s)]
-        if len(at) < max(least, needed(len(s), percent)):
-            continue  # not even the union of all has enough
-        shared = matrix[:, at].sum(1).round().astype(np.int64)
         seen = set()
-        for j in np.flatnonzero(100 * shared >= percent * (len(s) + sizes - shared)):
+        for j in linked(np.frombuffer(raw, np.uint64)):
             if (r := root(j)) not in seen:
                 seen.add(r)
                 out.append((node, nodes[j]))

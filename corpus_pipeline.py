@@ -32,13 +32,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of the texts. A document that loses all of its text so is dropped."""
     found = linededup.dedup(docs)
-    gone = (F.col("n_removed") > 0) & (F.trim("kept") == "")
+    gone = (F.col("n_removed") > 0) & ~F.col("kept").rlike(r"\S")
     new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
     return found.filter(~gone).select(*(new[c].alias(c) if c in new else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of equal rows, one."""
+    """Of each group of near-duplicates the document with the smallest id stays; of equal rows, one.
+    Rows without an id stay."""
     found = jaccard.join(docs.select("doc_id", "text"))
     later = written(found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
     small = later.count() <= BROADCAST_ROWS
