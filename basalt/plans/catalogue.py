@@ -563,3 +563,91 @@ def upsert_latest(spark, sf_dir):
 def llm_patch_fill_blanks(spark, sf_dir):
     current = F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.lit("  "))
     return parts(spark, sf_dir).select("p_partkey", workspace.filled(current, F.col("p_type")).alias("filled"), workspace.filled(current, F.col("p_type"), overwrite=True).alias("overwritten"))
+
+
+# More of the pipeline's reports and lookups
+
+
+@query("SELECT p_partkey, '{\"title\":\"' || p_name || '\",\"adapter\":\"' || p_brand || '\",\"category\":\"' || p_type || '\",\"size\":' || p_size || '}' AS structured FROM part")
+def structured_json(spark, sf_dir):
+    fields = F.struct(F.col("p_name").alias("title"), F.col("p_brand").alias("adapter"), F.col("p_type").alias("category"), F.col("p_size").alias("size"))
+    return parts(spark, sf_dir).select("p_partkey", F.to_json(fields).alias("structured"))
+
+
+@query(f"""SELECT page_id, {HOST_SQL} AS host, max(CASE WHEN starts_with({HOST_SQL}, 'm.') THEN 1 ELSE 0 END) OVER (PARTITION BY {BARE_SQL}) = 1 AS needs_browser FROM pages""")
+def domain_profile_lookup(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", urls.host("url").alias("host"), urls.bare_host("url").alias("bare"))
+    profiles = rows.groupBy("bare").agg(F.bool_or(F.col("host").startswith("m.")).alias("needs_browser"))
+    return rows.join(profiles, "bare", "left").select("page_id", "host", "needs_browser")
+
+
+@query("SELECT page_id, regexp_replace(url, '^(https?://)m\\.', '\\1www.') AS url FROM pages")
+def mobile_to_desktop(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.desktop("url").alias("url"))
+
+
+@query(f"""SELECT {BARE_SQL} AS host, max(coalesce(TRY_CAST(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS BIGINT), 1)) AS max_page, count(*) AS n FROM pages GROUP BY 1""")
+def max_page_per_host(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(urls.bare_host("url").alias("host"), urls.page_number("url").alias("page"))
+    return rows.groupBy("host").agg(F.max("page").alias("max_page"), F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM customer")
+def name_slugs(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.slug("c_name").alias("slug"))
+
+
+@query(f"""WITH l AS (SELECT user_id, arg_max({STATUS_SQL}, ts) AS status, arg_max(value, ts) AS value FROM events GROUP BY 1), f AS (SELECT user_id, value > 50 AS hard FROM l WHERE status = 'failed'),
+    r AS (SELECT user_id, min(event_id) AS seq FROM events WHERE event_type = 'signup' GROUP BY 1)
+    SELECT user_id, seq, CASE WHEN hard IS NULL THEN 1 WHEN hard THEN 2 ELSE 0 END AS bucket FROM r LEFT JOIN f USING (user_id)""")
+def ingest_order_retries_first(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    failed = state.latest(rows, ["user_id"], ["ts", "event_id"], "status", "value").filter("status = 'failed'").select("user_id", (F.col("value") > 50).alias("hard"))
+    refs = rows.filter("status = 'discovered'").groupBy("user_id").agg(F.min("event_id").alias("seq"))
+    return state.ingest_order(refs, failed, "user_id", "seq", retry_first=True)
+
+
+@query(f"""{_INDEX_SQL}, a AS (SELECT p_partkey, count(*) AS n, round(sum(weight) * 0.9, 6) AS rank FROM i WHERE term IN ('red', 'economy', '17') GROUP BY 1),
+    top AS (SELECT * FROM a ORDER BY rank DESC, p_partkey LIMIT 100) SELECT p_partkey, rank::DOUBLE AS rank FROM top WHERE n < 3""")
+def related_after_limit(spark, sf_dir):
+    """The strict hits are taken out of the related ones after the limit, which is the report's length."""
+    index = search.postings(parts(spark, sf_dir), "p_partkey", _FIELDS)
+    ranked = search.ranked_any(index, "p_partkey", _QUERY).withColumn("rank", F.round(F.col("rank") * search.RELATED_WEIGHT, 6))
+    top = ranked.orderBy(F.desc("rank"), "p_partkey").limit(100)
+    return top.join(search.ranked_all(index, "p_partkey", _QUERY).select("p_partkey"), "p_partkey", "left_anti").select("p_partkey", "rank")
+
+
+@query("""SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS k, count(*) AS n, count(*) FILTER (CAST(json_extract(props, '$.k') AS BIGINT) >= 50) AS n_high FROM events GROUP BY 1""")
+def lenient_json_fields(spark, sf_dir):
+    k = F.coalesce(F.get_json_object("props", "$.k"), F.regexp_extract("props", r'"k"\s*:\s*([0-9]+)', 1)).try_cast("long")
+    rows = table(spark, sf_dir, "events").select("event_type", k.alias("k"))
+    return rows.groupBy("event_type").agg(F.sum("k").alias("k"), F.count("*").alias("n"), F.count_if(F.col("k") >= 50).alias("n_high"))
+
+
+@query("""SELECT o_orderkey, o_custkey, n_name AS place, coalesce(nullif(c_mktsegment, 'MACHINERY'), n_name) AS contact, c_acctbal < 0 AS sold
+    FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def profile_enrichment(spark, sf_dir):
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    rows = o.select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == c.c_custkey, "left").join(n, F.col("c_nationkey") == n.n_nationkey, "left")
+    contact = workspace.filled(F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment")), F.col("n_name"))
+    return rows.select("o_orderkey", "o_custkey", F.col("n_name").alias("place"), contact.alias("contact"), (F.col("c_acctbal") < 0).alias("sold"))
+
+
+@query("""SELECT p_type, p_brand, count(*) AS n, grouping(p_brand) AS all_brands FROM part GROUP BY ROLLUP (p_type, p_brand)""")
+def facet_rollup(spark, sf_dir):
+    return parts(spark, sf_dir).rollup("p_type", "p_brand").agg(F.count("*").alias("n"), F.grouping("p_brand").cast("long").alias("all_brands"))
+
+
+@query(f"""WITH e AS (SELECT user_id, ts, {STATUS_SQL} AS status FROM events)
+    SELECT count(*) FILTER (status = 'failed') AS failures, count(DISTINCT user_id) FILTER (status = 'failed') AS listings,
+           count(DISTINCT user_id) FILTER (status IN ('ingested', 'skipped_known', 'skipped_fresh')) AS satisfied FROM e""")
+def run_totals(spark, sf_dir):
+    e = events(spark, sf_dir)
+    per = e.groupBy("user_id").agg(F.count_if(F.col("status") == "failed").alias("f"), F.bool_or(F.col("status").isin(*state.SATISFIED)).alias("s"))
+    return per.agg(F.sum("f").alias("failures"), F.count_if(F.col("f") > 0).alias("listings"), F.count_if("s").alias("satisfied"))
+
+
+@query("""SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2') AND lang = 'en' AND contains(lower(text), 'tion')""")
+def filter_by_source(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").filter(F.col("source").isin("src1", "src2") & (F.col("lang") == "en"))
+    return rows.filter(search.matches_all(F.lower("text"), ("tion",))).select("doc_id", "source")
