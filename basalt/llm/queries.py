@@ -102,4 +102,28 @@ SQL: dict[str, str] = {
             FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op5_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS token FROM w, unnest(range(1, len(ws) - 2)) AS r(i) WHERE len(ws) >= 4
+            UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 3),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+        reach(a, b) AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+        least AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY 1)
+        SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(least, w.doc_id)) AS component_id
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)""",
+    "op6_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS run FROM w, unnest(range(1, len(ws) - 11)) AS r(i) WHERE len(ws) >= 13),
+        m AS (SELECT run, min(doc_id) AS first FROM p GROUP BY 1),
+        c AS (SELECT DISTINCT doc_id, i + k AS pos FROM p JOIN m USING (run), unnest(range(0, 13)) AS r(k) WHERE doc_id > first),
+        e AS (SELECT doc_id, ws[i] AS word, i AS pos FROM w, unnest(range(1, len(ws) + 1)) AS r(i)),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t FROM e ANTI JOIN c USING (doc_id, pos) GROUP BY 1)
+        SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
 }
