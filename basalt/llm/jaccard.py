@@ -215,9 +215,9 @@ def with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return sets.groupBy("node").agg(F.first("tokens").alias("tokens"))  # an id may stand for several rows
 
 
-def links_in(members: pd.DataFrame, visitors: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links that join what the group's members and visitors reach in it: of several links that would join
-    the same parts of the group, one."""
+def links_in(members: pd.DataFrame, visitors: pd.DataFrame, percent: int, inside: bool) -> list[tuple[int, int]]:
+    """Links that join what the group's visitors (and, if ``inside``, its members) reach in it: of several
+    links that would join the same parts of the group, one."""
     sets = [np.frombuffer(x, np.uint64) for x in members["tokens"]]
     nodes, sizes = members["node"].tolist(), np.array([len(s) for s in sets])
     union, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
@@ -242,7 +242,7 @@ def links_in(members: pd.DataFrame, visitors: pd.DataFrame, percent: int) -> lis
         return np.flatnonzero(100 * shared >= percent * (len(s) + sizes - shared))
 
     out = []
-    for i, s in enumerate(sets):
+    for i, s in enumerate(sets if inside else ()):
         for j in linked(s):
             if j > i and (a := root(i)) != (b := root(j)):
                 part[max(a, b)] = min(a, b)
@@ -269,10 +269,28 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     open_ = written(total.filter(F.col("c") + rest >= F.ceil((n_q + low) * percent / (100 + percent))).select("node", "group"))
 
     opened = open_.select("group").distinct()
-    members = grouped.join(opened, "group", "left_semi").select("node", "doc_id", "group")
-    visits = open_.join(grouped.select("node", F.col("group").alias("home"), "doc_id"), "node").filter(F.col("home") != F.col("group"))
+    members = written(grouped.join(opened, "group", "left_semi").select("node", "doc_id", "group"))
+    homes = grouped.select("node", F.col("group").alias("home"), "doc_id")
+    visits = written(open_.join(homes, "node").filter(F.col("home") != F.col("group")))
     wanted = members.select("doc_id", "node").unionByName(visits.select("doc_id", "node")).distinct()
     sets = written(with_sets(docs, written(wanted), n))
+
+    # One of a group's members visits for all first. Where that joins two groups, the others needn't.
+    first = visits.groupBy("home", "group").agg(F.min("node").alias("node")).select("node", "group")
+    early = written(compared(members, first, sets, percent, inside=True))
+    part = components(early).select("node", "component")
+    parted = members.join(part, "node", "left").select("group", F.coalesce("component", "node").alias("component"))
+    whole = parted.groupBy("group").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    late = visits.select("node", "group").join(first, ["node", "group"], "left_anti").join(part, "node", "left").join(whole, "group")
+    own = F.coalesce("component", "node")
+    late = written(late.filter((own != F.col("least")) | (own != F.col("most"))).select("node", "group"))
+    hosts = members.join(late.select("group").distinct(), "group", "left_semi")
+    return early.unionByName(compared(hosts, late, sets, percent, inside=False))
+
+
+def compared(members: DataFrame, visits: DataFrame, sets: DataFrame, percent: int, inside: bool) -> DataFrame:
+    """``a, b``: links of visitors with a group's members, some visitors of a group at a time; and, if
+    ``inside``, of the members with each other."""
     chunks = visits.groupBy("group").agg(F.ceil(F.count("*") / VISITORS).alias("chunks"))
     spread = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)).cast("long") - 1))
     left = members.join(chunks, "group", "left").select("node", "group", spread.alias("chunk")).join(sets, "node")
@@ -280,7 +298,7 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of their own
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(links_in(left, right, percent) if len(left) else [], columns=["a", "b"], dtype=np.int64)
+        return pd.DataFrame(links_in(left, right, percent, inside) if len(left) else [], columns=["a", "b"], dtype=np.int64)
 
     return left.groupBy("group", "chunk").cogroup(right.groupBy("group", "chunk")).applyInPandas(compare, "a long, b long")
 

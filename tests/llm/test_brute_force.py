@@ -11,7 +11,7 @@ import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from basalt.llm import bpe, fingerprint, linededup, packing, queries
+from basalt.llm import bpe, fingerprint, jaccard, linededup, packing, queries
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -182,3 +182,36 @@ def test_byte_bpe(spark, small, docs):
     for _ in range(500):
         s = "".join(r.choices("ab 's\n\t'lé1２٣¶ 　Ǆx\U0001f600\x85", k=r.randint(0, 40)))
         assert own.encode(s) == np.array(core.encode_ordinary(s), "<u4").tobytes() and own.decode(own.encode(s)).decode() == s
+
+
+def test_jaccard_join_of_many_near_copies(spark, monkeypatch):
+    """Small groups, so that most links run between groups, and several visitors' chunks."""
+    monkeypatch.setattr(jaccard, "GROUP", 6)
+    monkeypatch.setattr(jaccard, "VISITORS", 5)
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    texts = []
+    for _ in range(3):
+        base = [word() for _ in range(120)]
+        for _ in range(60):
+            copy = list(base)
+            for _ in range(r.randint(0, 6)):
+                copy[r.randrange(len(copy))] = word()
+            texts.append(" ".join(copy[: r.randint(110, 120)]))
+    r.shuffle(texts)
+    sets = [shingles(t, 4) for t in texts]
+    part = list(range(len(texts)))
+
+    def root(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                part[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.join(df, n=4, percent=85).collect()}
+    assert got == {i: root(i) for i in range(len(texts))} and 3 < len(set(got.values())) < 150
