@@ -3,7 +3,10 @@
 The lines of a text that speak of licences are its header. Each is compared with the templates by the cosine
 of sparse TF-IDF vectors, whose inverse document frequencies are those of the templates (a word that no
 template has counts as rarest). A file's licence is that of its best line, if the cosine reaches
-``LEAST``. A directory takes the licence of the licence file in it, the first by path; a file without one of
+``LEAST``. Where no line does, wider parts of the file are held against the licences' texts in ``TEXTS``: its
+header (all cue lines with ``NEAR`` lines around each), its first lines and its whole text. Their terms are pairs
+of neighbouring words, split at hyphens and across line ends, each counted once; pairs that no text has are left out,
+so that other words nearby don't weigh, and ``PAIRS`` pairs at least must agree. A directory takes the licence of the licence file in it, the first by path; a file without one of
 its own takes that of its nearest directory upwards that has one. All of it is joins and sums over DataFrames.
 
 Null and empty texts have no licence of their own, and may inherit one. A null path counts as empty: such a
@@ -46,6 +49,59 @@ TEMPLATES = {
     "Unlicense": "Released into the public domain under the Unlicense.",
 }
 
+# Fixed values of the wider comparison: lines around a cue line, first lines, word pairs that must agree.
+NEAR, FIRST, PAIRS = 3, 5, 2
+WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
+
+_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_AS_IS = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+
+
+def _gnu(name: str, version: str, what: str = "program") -> str:
+    return f"This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+
+
+# Whole texts of the short licences; of the long ones the title and the notice that they ask to put into each file.
+TEXTS = {
+    "AGPL-3.0": ["GNU Affero General Public License Version 3, 19 November 2007", _gnu("GNU Affero General Public License", "3")],
+    "Apache-2.0": ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'],
+    "BSD-2-Clause": ["BSD 2-Clause License", "the simplified BSD license", _BSD + _BSD_END],
+    "BSD-3-Clause": ["BSD 3-Clause License", "the new BSD license", _BSD + _BSD_3 + _BSD_END],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International Public License", "the Creative Commons Attribution 4.0 International License"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International Public License", "the Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International Public License", "the Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC0-1.0": ["Creative Commons Legal Code CC0 1.0 Universal"],
+    "EPL-2.0": ["Eclipse Public License - v 2.0", "made available under the terms of the Eclipse Public License 2.0 which is available at"],
+    "GPL-2.0": ["GNU General Public License Version 2, June 1991", _gnu("GNU General Public License", "2")],
+    "GPL-3.0": ["GNU General Public License Version 3, 29 June 2007", _gnu("GNU General Public License", "3")],
+    "LGPL-3.0": ["GNU Lesser General Public License Version 3, 29 June 2007", _gnu("GNU Lesser General Public License", "3"), _gnu("GNU Lesser General Public License", "3", "library")],
+    "MIT": ["distributed under the MIT license", "The MIT License (MIT)", _GRANT + _AS_IS],
+    "MPL-2.0": ["Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "Proprietary": ["Copyright. All rights reserved."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+}
+
+
+def pairs(text: str) -> set[str]:
+    words = re.findall(WORD, text.lower().replace("licence", "license"))
+    return {f"{a} {b}" for a, b in zip(words, words[1:])}
+
+
+def wide_weights() -> list[tuple[str, int, str, float, float]]:
+    """``licence, number, pair, weight, idf`` of the unit vectors of ``TEXTS``, ``TEMPLATES`` and the SPDX identifiers."""
+    texts = [(name, t) for name in TEMPLATES for t in (*TEXTS[name], TEMPLATES[name], f"SPDX-License-Identifier: {name}")]
+    found = [(name, pairs(t)) for name, t in texts]
+    often = Counter(w for _, ws in found for w in ws)
+    idf = {w: math.log((1 + len(found)) / (1 + c)) + 1 for w, c in often.items()}
+    rows = []
+    for k, (name, ws) in enumerate(found):
+        norm = math.sqrt(sum(idf[w] ** 2 for w in ws))
+        rows += [(name, k, w, idf[w] / norm, idf[w]) for w in sorted(ws)]
+    return rows
+
 
 def weights() -> tuple[dict[str, float], list[tuple[str, str, float]], float]:
     """Inverse document frequency of each template word; ``licence, word, weight`` of unit vectors; and the
@@ -60,8 +116,34 @@ def weights() -> tuple[dict[str, float], list[tuple[str, str, float]], float]:
     return idf, rows, math.log(1 + n) + 1
 
 
+def wide_licences(files: DataFrame) -> DataFrame:
+    """``p, th, licence, score`` of the files whose header, first lines or whole text reach ``LEAST``."""
+    rows = files.sparkSession.createDataFrame(wide_weights(), "licence string, number int, term string, weight double, idf double")
+    known = F.broadcast(rows.groupBy("term", "idf").agg(F.collect_list(F.struct("licence", "number", "weight")).alias("of")))  # the texts' pairs
+    # Lines and flags are bound once: what refers to them may be pushed down and computed again.
+    parts = F.expr(
+        f"""element_at(transform(array(split(text, '\\n')), ls -> array(
+            array_join(element_at(transform(array(transform(ls, x -> lower(x) RLIKE '{CUES}')), f ->
+                filter(ls, (x, i) -> array_contains(slice(f, greatest(1, i + 1 - {NEAR}), least({2 * NEAR + 1}, i + 1 + {NEAR})), true))), 1), '\n'),
+            array_join(slice(filter(ls, x -> x RLIKE '[A-Za-z0-9]'), 1, {FIRST}), '\n'),
+            text)), 1)"""
+    )
+    units = files.filter(F.lower("text").rlike(CUES)).select("p", "th", F.posexplode(parts).alias("unit", "words"))
+    two = F.expr(
+        f"""element_at(transform(array(regexp_extract_all(replace(lower(words), 'licence', 'license'), '{WORD.replace(chr(92), chr(92) * 2)}', 0)), t ->
+            zip_with(t, slice(t, 2, size(t)), (a, b) -> concat(a, ' ', b))), 1)"""
+    )
+    terms = units.select("p", "th", "unit", F.explode(two).alias("term")).join(known, "term").dropDuplicates(["p", "th", "unit", "term"])
+    norms = terms.groupBy("p", "th", "unit").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+    each = terms.select("p", "th", "unit", "idf", F.inline("of"))
+    dots = each.groupBy("p", "th", "unit", "licence", "number").agg(F.sum(F.col("idf") * F.col("weight")).alias("dot"), F.count("*").alias("n"))
+    scored = dots.filter(F.col("n") >= PAIRS).join(norms, ["p", "th", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
+    return scored.filter(F.col("score") >= LEAST).select("p", "th", "licence", "score")
+
+
 def own_licences(files: DataFrame) -> DataFrame:
-    """``p, th, licence, score`` of the files whose best licence line reaches ``LEAST``."""
+    """``p, th, licence, score`` of the files with a licence: that of the best line which reaches ``LEAST``, or
+    without such a line that of the best wider part. What only reserves all rights comes last."""
     spark = files.sparkSession
     idf, rows, rarest = weights()
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))  # the templates' words
@@ -74,7 +156,10 @@ def own_licences(files: DataFrame) -> DataFrame:
     norms = vectors.groupBy("p", "th", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = vectors.join(template, "term").groupBy("p", "th", "line", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, ["p", "th", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= LEAST)
-    best = F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best")
+    scored = scored.select("p", "th", "licence", "score", F.lit(0).alias("part")).unionByName(wide_licences(files).withColumn("part", F.lit(1)))
+    # A sentence that reserves all rights also stands above licences.
+    scored = scored.withColumn("part", F.col("part") + F.when(F.col("licence") == "Proprietary", 2).otherwise(0))
+    best = F.min(F.struct("part", (-F.col("score")).alias("s"), "licence")).alias("best")
     return scored.groupBy("p", "th").agg(best).select("p", "th", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score"))
 
 

@@ -107,3 +107,27 @@ def test_pipeline(spark, odd, tmp_path):
 def test_sql(compare):
     for name, sql in queries.SQL.items():
         compare(queries.QUERIES[name], sql)
+
+
+LICENCES = [
+    ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"),
+    ("MIT", "// SPDX-License-Identifier: MIT\nint main;"),
+    ("GPL-3.0", "/* SPDX-License-Identifier: GPL-3.0-or-later */"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("GPL-2.0", "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\n" + BASE),
+    ("LGPL-3.0", " * This library is free software: you can redistribute it and/or modify it under\n * the terms of the GNU Lesser General Public License as published by the Free\n * Software Foundation, either version 3 of the License, or any later version."),
+    ("MIT", "This file is distributed under the MIT license, see LICENSE.txt for details."),
+    ("MIT", "Released under the MIT License. Please report any problem to our small team quickly"),
+    ("MIT", f"MIT License\n\nCopyright (c) 2020 Some One\n\n{licenses._GRANT[:200]}\n{licenses._GRANT[200:]}\n\n{licenses._AS_IS}"),
+    ("BSD-3-Clause", f"Copyright (c) 2020, Some One. All rights reserved.\n{licenses._BSD}\n{licenses._BSD_3}\n{licenses._BSD_END}"),
+    ("BSD-2-Clause", f"Copyright (c) 2020, Some One\n{licenses._BSD}\n{licenses._BSD_END}"),
+    ("Proprietary", "Copyright (c) 2020 Some Company Inc. All rights reserved. Do not copy."),
+    (None, "The copyright of this work is a matter of the law, and the right of the author to the public is under review."),
+    (None, BASE + " license " + BASE),
+]
+
+
+def test_licences_of_headers_and_files(spark):
+    df = spark.createDataFrame([(f"d{i}/f", text) for i, (_, text) in enumerate(LICENCES)], "path string, text string")
+    got = {r.path: r.licence for r in licenses.scan(df).collect()}
+    assert [got[f"d{i}/f"] for i in range(len(LICENCES))] == [x for x, _ in LICENCES]
