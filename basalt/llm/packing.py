@@ -16,6 +16,7 @@ out of the result.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,16 +45,25 @@ def byte_alphabet() -> dict[str, int]:
 
 class Vocabulary(ChunkMemo):
     """A byte-level BPE vocabulary file of the ``tokenizers`` library, whose ids are its merge ranks.
-    The strings of special tokens in a text are ordinary text."""
+    The strings of its added tokens in a text are those tokens, as in the library; what is between is merged."""
 
     def __init__(self, spec: str, pattern: str):
         super().__init__(300_000)
         spec = json.loads(spec)
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec.get("added_tokens", []) if t["content"]}
         special = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
+        # At one place the longest.
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         byte = byte_alphabet()
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def encode(self, text: str) -> bytes:
+        if self.cut is None or not self.cut.search(text):
+            return super().encode(text)
+        parts = self.cut.split(text)  # text, token, text, ...
+        return b"".join(self.added[x] if k % 2 else super(Vocabulary, self).encode(x) for k, x in enumerate(parts) if x)
+
     def whole(self, text: str) -> bytes:
         return np.array(self.core.encode_ordinary(text), "<u4").tobytes()
 

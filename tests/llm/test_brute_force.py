@@ -151,6 +151,16 @@ def test_packing(spark, small, docs):
         assert at <= 1024
 
 
+def test_packing_of_added_tokens(spark):
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, f"{end}{end}", f"one two {end} three", f"x\n\n{end}\n y", f"  {end}  ", "<|endoftext|", f"<{end}>", f"a {end}b c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_ids=True).collect()
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+
+
 def test_plan_uses_every_piece_once():
     r = np.random.default_rng(1)
     histogram = np.bincount(r.integers(1, 1025, 5000), minlength=1025)
