@@ -1,6 +1,8 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-A candidate is a word of ``MIN_CHARS`` characters or more with a digit in it. Its features are its length,
+A candidate is a word of ``MIN_CHARS`` characters or more with a digit in it, a word in a published key format, or,
+at any length, the value that a secret's name is given, in one word (quoted, dotted and numbered names too) or in
+the words before. Keys in a published format are secrets whatever the forest says. A candidate's features are its length,
 how often its characters change class and how many differ, how much of it is words of the dictionary (the
 corpus's most frequent words), its path, and the words next to it. The forest is trained on labelled
 findings: without any given, those that a published key format or an assignment to a secret's name
@@ -26,6 +28,21 @@ MIN_CHARS = 12
 LABELLED, DICTIONARY = 20_000, 3000
 TREES, DEPTH, SEED = 20, 5, 7
 FEATURES = ("length", "runs", "different", "digits", "upper", "covered", "path", "named", "sample")
+#: A secret's name as a whole, and a word's part up to its value: a plain name, or one that holds a secret's name.
+_SECRET = "(?:pass(?:word|wd|phrase)?|pwd|token|secret|api[_.-]?key|access[_.-]?key|private[_.-]?key|auth|authorization|credential|bearer)s?(?:[_.-]?(?:key|id|value|hash|token))*(?![A-Za-z])"
+_OPEN, _KEY = "[^A-Za-z0-9 ]*", "[A-Za-z0-9_.$-]*"
+_GIVEN = f"""^{_OPEN}(?:(?i:{_KEY}{_SECRET})[A-Za-z0-9_.-]{{0,20}}[\"'`\\])]{{0,3}}(?::=|=>|[=:])(?=[^A-Za-z0-9]{{0,3}}[A-Za-z0-9]))"""
+_NAME = "^[A-Za-z_-]{2,30}[=:]"
+_NAMED_BEFORE = f"""(?i)(?:^|[^a-z]){_KEY}{_SECRET}[A-Za-z0-9_.-]{{0,20}}[\"'`\\])]{{0,3}}"""
+_AFTER = "(?::=|=>|[=:])"
+_FORMATS = "(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp|gho|ghs)_[0-9A-Za-z]{36}|xox[abp]-[0-9A-Za-z-]{10,})(?![0-9A-Za-z])"
+_FORMAT = "^(AKIA|ASIA)[0-9A-Z]{16}$|^(ghp|gho|ghs)_[0-9A-Za-z]{36}$|^xox[abp]-[0-9A-Za-z-]{10,}$"
+
+
+def _q(pattern: str) -> str:
+    """As a string in SQL."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
 _WORDS = r"split(coalesce(text, ''), '[\\s]+')"
 _NAMES = "pass(word|wd|phrase)?|pwd|token|secret|api.?key|access.?key|private.?key|auth|credential|bearer"
@@ -42,20 +59,32 @@ def dictionary(docs: DataFrame, text: str = "text") -> list[str]:
 def candidates(docs: DataFrame, known: list[str]) -> DataFrame:
     """``docs`` (with ``text`` and ``path``) and ``found``: an array of candidates, with features and label."""
     # One expression, whose words are bound once: what refers to it may be pushed down and computed again.
-    near = docs.withColumn(
-        "found",
-        F.expr(
-            rf"""element_at(transform(array({_WORDS}), w ->
-                transform(filter(sequence(0, size(w) - 1), i -> length(w[i]) >= {MIN_CHARS} AND w[i] RLIKE '[0-9]'), i -> named_struct('at', i,
-                'value', regexp_replace(regexp_replace(w[i], '^[A-Za-z_-]{{2,30}}[=:]', ''), '^[^A-Za-z0-9]+|[^A-Za-z0-9=]+$', ''),
-                'near', lower(concat_ws(' ', get(w, i - 2), get(w, i - 1), regexp_extract(w[i], '^([A-Za-z_-]{{2,30}}[=:])', 1), get(w, i + 1)))))), 1)"""
-        ),
-    )
+    # A name in the same word is cut off its value; one in the words before ends in, or is followed by, = or :.
+    here = f"((contains(w[i], '=') OR contains(w[i], ':')) AND w[i] RLIKE {_q(_GIVEN)})"
+    ends = f"(get(w, i - 1) RLIKE '[=:]$' AND get(w, i - 1) RLIKE {_q(_NAMED_BEFORE + _AFTER + '$')})"
+    apart = f"(get(w, i - 1) IN ('=', ':', ':=', '=>') AND get(w, i - 2) RLIKE {_q(_NAMED_BEFORE + '$')})"
+    bearer = "(lower(get(w, i - 1)) = 'bearer')"
+    before = f"(coalesce({ends}, false) OR coalesce({apart}, false) OR coalesce({bearer}, false)) AND w[i] RLIKE '[A-Za-z0-9]'"
+    form = f"(length(w[i]) >= 14 AND w[i] RLIKE {_q(_FORMATS)})"
+    value = f"regexp_replace(CASE WHEN {form} THEN regexp_extract(w[i], {_q(_FORMATS)}, 0) WHEN {here} THEN regexp_replace(w[i], {_q(_GIVEN)}, '') ELSE regexp_replace(w[i], '{_NAME}', '') END, '^[^A-Za-z0-9]+|[^A-Za-z0-9=]+$', '')"
+    key = f"CASE WHEN {here} THEN regexp_extract(w[i], {_q(_GIVEN)}, 0) ELSE regexp_extract(w[i], '{_NAME}', 0) END"
+    plain = f"length(w[i]) >= {MIN_CHARS} AND w[i] RLIKE '[0-9]'"
+
+    def words(chosen: str, value: str, given: str, key: str) -> str:
+        return rf"""element_at(transform(array({_WORDS}), w ->
+                transform(filter(sequence(0, size(w) - 1), i -> {chosen}), i -> named_struct('at', i, 'value', {value}, 'given', {given},
+                'near', lower(concat_ws(' ', get(w, i - 2), get(w, i - 1), {key}, get(w, i + 1)))))), 1)"""
+
+    # A text with neither a secret's name nor a format's first letters needs only the plain choice.
+    may = f"text RLIKE {_q('(?i)' + _SECRET)} OR contains(text, 'AKIA') OR contains(text, 'ASIA') OR contains(text, 'gh') AND text RLIKE 'gh[pos]_' OR contains(text, 'xox')"
+    full = words(f"({plain}) OR {form} OR {here} OR ({before})", value, f"CASE WHEN {here} THEN 2 WHEN {before} THEN 1 ELSE 0 END", key)
+    short = words(plain, f"regexp_replace(regexp_replace(w[i], '{_NAME}', ''), '^[^A-Za-z0-9]+|[^A-Za-z0-9=]+$', '')", "0", f"regexp_extract(w[i], '{_NAME}', 0)")
+    near = docs.withColumn("found", F.expr(f"CASE WHEN {may} THEN {full} ELSE {short} END"))
     listed = " ".join(known)
     features = near.withColumn("_known", F.split(F.lit(listed), " ")).withColumn(
         "found",
         F.expr(
-            rf"""transform(found, c -> named_struct('at', c.at, 'value', c.value,
+            rf"""transform(found, c -> named_struct('at', c.at, 'value', c.value, 'given', c.given,
                 'length', double(length(c.value)),
                 'runs', double(length(regexp_replace(c.value, '[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+', 'x'))),
                 'different', double(size(array_distinct(split(c.value, '')))),
@@ -63,12 +92,13 @@ def candidates(docs: DataFrame, known: list[str]) -> DataFrame:
                 'upper', length(regexp_replace(c.value, '[^A-Z]', '')) / greatest(length(c.value), 1),
                 'covered', aggregate(filter(regexp_extract_all(lower(c.value), '[a-z]{{3,}}', 0), r -> array_contains(_known, r)), 0, (n, r) -> n + length(r)) / greatest(length(c.value), 1),
                 'path', double(pmod(xxhash64(coalesce(path, '')), 16)),
-                'named', double(int(c.near RLIKE '{_NAMES}')),
+                'named', double(int(c.given > 0 OR c.near RLIKE '{_NAMES}')),
                 'sample', double(int(c.near RLIKE '{_SAMPLES}')),
                 'label', CASE WHEN c.value RLIKE '^(AKIA|ASIA)[0-9A-Z]{{16}}$' THEN 1
                               WHEN c.value RLIKE '^(ghp|gho|ghs)_[0-9A-Za-z]{{36}}$|^xox[abp]-[0-9A-Za-z-]{{10,}}$' THEN 1
                               WHEN c.near RLIKE '({_NAMES})[^ ]{{0,10}} ?[=:]' AND c.value RLIKE '^[0-9A-Za-z_+/=-]{{16,}}$' THEN 1
-                              WHEN c.value RLIKE '^[0-9.,:/-]+$' OR c.value RLIKE '@[A-Za-z0-9-]+[.]' OR c.value RLIKE '^[a-z]+://' THEN 0 END))"""
+                              WHEN c.value RLIKE '^[0-9.,:/-]+$' OR c.value RLIKE '@[A-Za-z0-9-]+[.]' OR c.value RLIKE '^[a-z]+://' THEN 0
+                              WHEN length(c.value) >= 6 AND (c.given = 2 OR c.given = 1 AND c.value RLIKE '[0-9]') THEN 1 END))"""
         ),
     )
     return features.drop("_known")
@@ -107,8 +137,8 @@ def scan(docs: DataFrame, path: str = "source") -> DataFrame:
     """``docs`` with ``found``: an array of ``at`` (number of the word), ``value``, ``label``, ``score`` and
     ``secret`` for each candidate in the text."""
     rows = candidates(docs.select(F.struct("*").alias("row"), F.col(path).cast("string").alias("path"), "text"), dictionary(docs))
-    scored = expression(train(rows))
-    kept = F.expr(f"transform(found, c -> named_struct('at', c.at, 'value', c.value, 'label', c.label, 'score', {scored}))")
+    scored = f"CASE WHEN c.value RLIKE '{_FORMAT}' THEN 1D ELSE {expression(train(rows))} END"
+    kept = F.expr(f"transform(found, c -> named_struct('at', c.at, 'value', c.value, 'given', c.given, 'label', c.label, 'score', {scored}))")
     marked = F.expr("transform(found, c -> named_struct('at', c.at, 'value', c.value, 'label', c.label, 'score', c.score, 'secret', c.score >= 0.5))")
     out = rows.withColumn("found", kept).withColumn("found", marked)
     return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "found"), "found")
@@ -116,8 +146,12 @@ def scan(docs: DataFrame, path: str = "source") -> DataFrame:
 
 def redacted(docs: DataFrame, path: str = "source", mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; columns and rows stay."""
-    secrets = "array_sort(array_distinct(transform(filter(found, c -> c.secret), c -> c.value)), (a, b) -> length(b) - length(a))"
-    clean = F.expr(f"aggregate({secrets}, text, (t, v) -> replace(t, v, '{mark}'))")
+    # Long values and those of several classes go wherever they stand; a short or plain word only where its name gives it.
+    wide = f"(length(c.value) >= {MIN_CHARS} AND c.value RLIKE '[0-9]' OR c.value RLIKE '{_FORMAT}')"
+    secrets = f"array_sort(array_distinct(transform(filter(found, c -> c.secret AND c.value != ''), c -> named_struct('value', c.value, 'wide', {wide}))), (a, b) -> length(b.value) - length(a.value))"
+    behind = f"((?i:(?:^|[^a-z]){_KEY}{_SECRET})[A-Za-z0-9_.-]{{0,20}}[\"'`\\])]{{0,3}}\\s*(?:{_AFTER}|(?<=(?i:bearer))\\s)[^A-Za-z0-9]{{0,8}})"
+    one = f"regexp_replace(t, concat({_q(behind)}, '\\\\Q', v.value, '\\\\E', '(?![A-Za-z0-9])'), '$1{mark}')"
+    clean = F.expr(f"aggregate({secrets}, text, (t, v) -> CASE WHEN v.wide THEN replace(t, v.value, '{mark}') ELSE {one} END)")
     whole = docs.select(F.struct("*").alias("row"), "text", F.col(path).cast("string").alias("path"))
     done = scan(whole, "path").withColumn("text", clean)
     return done.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
