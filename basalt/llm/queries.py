@@ -71,7 +71,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digest(bpe.decode(bpe.encode(docs, *vocabulary), *vocabulary))
+    return bpe.digest(bpe.round_trip(docs, *vocabulary))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

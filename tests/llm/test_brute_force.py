@@ -131,7 +131,6 @@ def test_language_id_held_out(spark, small):
 
 def test_packing(spark, small, docs):
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = queries.op9_packing(spark, small).collect()
     by, sequences = {}, {}
     for r in rows:
@@ -190,8 +189,9 @@ def test_byte_bpe(spark, small, docs):
     assert all(own.hash.keys[s] == k for s, k in enumerate(own.hash.keys)) and len(set(own.hash.values)) == own.hash.n
     r = random.Random(2)
     for _ in range(500):
-        s = "".join(r.choices("ab 's\n\t'lé1２٣¶ 　Ǆx\U0001f600\x85", k=r.randint(0, 40)))
-        assert own.encode(s) == np.array(core.encode_ordinary(s), "<u4").tobytes() and own.decode(own.encode(s)).decode() == s
+        s = "".join(r.choices("ab 's\n\t'lé1２٣¶ 　Ǆx\U0001f600\x85" + "abcdefghij" * (_ % 2), k=r.randint(0, 40 + 80 * (_ % 3))))
+        (ids,) = own.encode([s])
+        assert ids == np.array(core.encode_ordinary(s), "<u4").tobytes() and own.decode(ids).decode() == s
 
 
 def test_jaccard_join_of_many_near_copies(spark, monkeypatch):

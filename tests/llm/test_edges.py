@@ -39,6 +39,7 @@ RUNS = {
     "langid": lambda d: langid.predict(d, langid.train(d)),
     "packing": lambda d: packing.pack_documents(d, *JSON),
     "bpe": lambda d: bpe.decode(bpe.encode(d, *VOCABULARY), *VOCABULARY),
+    "bpe in one pass": lambda d: bpe.round_trip(d, *VOCABULARY),
 }
 
 
