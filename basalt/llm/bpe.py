@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, column
+from .common import bound_batches, column, tidy
 
 #: Entries of each generation of the memo of spaced chunks in a Python worker; longest chunk that is kept.
 MEMO_ENTRIES, MEMO_CHARS = 200_000, 48
@@ -321,7 +321,7 @@ def _mapped(df: DataFrame, ranks_path: str, pattern: str, source: str, ids: str
             added = [found] * bool(ids) + [[encoder.decode(x) for x in found]] * bool(decoded)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in rest), *(pa.array(x, pa.binary()) for x in added)], names=[*rest, *new])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:

@@ -3,15 +3,18 @@
 Lines are compared by a segment-partition edit join. A line is cut into ``edits + 1`` segments; two lines
 within ``edits`` edits share a segment of the shorter one, at a place that the lengths confine. Segments
 are keyed by their line's length, their number and their text; each line probes the keys of every length
-that may match, only with the substrings at places that may match. Lines that meet are compared by a
-bit-parallel edit distance over a band of ``2 edits + 1`` diagonals.
+that may match, only with the substrings at places that may match. Only lines that meet another one under a key
+go there with their texts; under each key they come in order of their first places, and each is compared with
+those before it, the earliest first, until one is near: by a bit-parallel edit distance over a band of
+``2 edits + 1`` diagonals. So a line has one match a key at most, however many lines are alike.
 
 A line is removed if the same line, or one within ``edits`` edits, stands earlier: in a document with a
 smaller id, or above it in its own. Lines are judged on the input, not on what is left. Lines of fewer than
 ``min_chars`` code points stay. Null texts count as empty; an empty text has one line, which is empty. Rows
 without an id neither lose lines nor cost others any; rows that repeat an id and a text are not earlier than
-each other. Texts and lines of any length are read whole. Lines are told apart by 63-bit hashes. Other
-columns pass through in ``rest``. An empty table gives an empty result.
+each other; of rows that share an id and differ in text, the one with the smaller hash of its text is earlier.
+Texts and lines of any length are read whole. Lines are told apart by 61-bit hashes, rows of one id by 64-bit
+hashes. Other columns pass through in ``rest``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _R, _R_INVERSE, bound_batches, column, mix, written
+from .common import _R, _R_INVERSE, bound_batches, column, mix, text_hash, tidy, written
 from .substring import batch_of, by_key, packed, texts_of
 
 EDITS, MIN_CHARS = 2, 20
@@ -32,6 +35,15 @@ EDITS, MIN_CHARS = 2, 20
 BROADCAST_ROWS = 1_000_000
 #: Characters that are hashed at a time.
 BLOCK = 1 << 20
+#: Lines of a block that go to a key one by one; where there are more, one goes there for all of them.
+KEPT = 16
+#: Lines of a key whose parities are held against each other (of more, all go on), and that are compared in one task.
+TESTED, SPLIT = 2048, 20_000
+#: The lowest bits of a line's hash are left for what a row stands for: a probe instead of an own segment; all
+#: of a block's lines; a line that is known to meet others, whose key stands in ``parity``.
+PROBE, MANY, MET = 1, 2, 4
+_BINS = 1 << 18
+_LINE = 0xFFFFFFFFFFFFFFF8
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -118,8 +130,7 @@ class Lines:
         #: Parity of the number of characters in each of 64 classes: an edit changes two bits at most.
         bits = np.uint64(1) << (mix(points) >> np.uint64(58))
         self.parity = np.bitwise_xor.reduceat(bits, self.begin) if len(lines) else np.zeros(0, np.uint64)
-        #: The lowest bit is left for the role.
-        self.id = self.hash(self.begin, self.length, 0) & np.uint64(0xFFFFFFFFFFFFFFFE)
+        self.id = self.hash(self.begin, self.length, 0) & np.uint64(_LINE)
 
     def hash(self, begin: np.ndarray, length: np.ndarray | int, kind: np.ndarray | int) -> np.ndarray:
         back = powers(len(self.sums))[1]
@@ -145,20 +156,40 @@ def long_lines(texts: list[str | None], min_chars: int) -> Iterator[tuple[list[i
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``line, doc_id, at`` of every line; ``at`` is its number and 16 bits of the text's hash."""
+    """``line, doc_id, th, at`` of every line; ``at`` is its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ths = (column(batch, c).to_numpy() for c in ("doc_id", "th"))
             for rows, numbers, lines in long_lines(column(batch, "text").to_pylist(), min_chars):
-                yield batch_of([Lines(lines).id, ids[rows], ths[rows] << 40 | np.array(numbers)], ["line", "doc_id", "at"])
-
-    return docs.mapInArrow(run, "line long, doc_id long, at long")
+                yield batch_of([Lines(lines).id, ids[rows], ths[rows], np.array(numbers)], ["line", "doc_id", "th", "at"])
+
+    return docs.mapInArrow(tidy(run), "line long, doc_id long, th long, at long")
+
+
+def gathered(key: np.ndarray, line: np.ndarray, parity: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows of a block. Of a key with more than ``KEPT``, one row stands for all; they are known to meet
+    each other, and are dealt out by their own hash."""
+    bins = (key & np.uint64(_BINS - 1)).astype(np.int64)
+    full = np.bincount(bins, minlength=_BINS) > KEPT
+    if not full.any():
+        return key, line, parity
+    apart = full[bins]  # few rows, of the keys that may be hot
+    left, rest = np.flatnonzero(~apart), np.flatnonzero(apart)
+    rest = rest[np.argsort(key[rest], kind="stable")]
+    start = np.flatnonzero(np.concatenate([[True], key[rest[1:]] != key[rest[:-1]]]))
+    length = np.diff(np.append(start, len(rest)))
+    hot = length > KEPT
+    lead = np.array([rest[a + int((line[rest[a : a + n]] & np.uint64(PROBE)).argmin())] for a, n in zip(start[hot], length[hot])], np.int64)
+    many = np.repeat(hot, length)
+    one, rest = np.concatenate([left, rest[~many]]), rest[many]
+    keys_ = [key[one], key[lead], mix(key[rest] ^ line[rest])]
+    lines = [line[one], line[lead] | np.uint64(MANY), line[rest] | np.uint64(MET)]
+    return np.concatenate(keys_), np.concatenate(lines), np.concatenate([parity[one], parity[lead], key[rest]])
 
 
 def keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """``key, line, parity``: a row for each segment (role 0) and further probe (role 1, the line's lowest bit) of each
-    line; a line once a batch."""
+    """``key, line, parity``: a row for each segment and further probe of each line; a line once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,45 +203,46 @@ def keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                 for which, at, size, number, own in probes(length, edits):
                     gap, i = divmod(number, edits + 1)
                     kind = (length[which] - gap) * 16 + i + 1
-                    found.append((block.hash(begin[which] + at, size, kind), ids[which] | np.uint64(not own), parity[which]))
-                if found:
-                    yield batch_of([np.concatenate(x) for x in zip(*found)], ["key", "line", "parity"])
+                    found.append((block.hash(begin[which] + at, size, kind), ids[which] | np.uint64(PROBE * (not own)), parity[which]))
+                if found and len(fresh):
+                    yield batch_of(gathered(*(np.concatenate(x) for x in zip(*found))), ["key", "line", "parity"])
 
-    return docs.mapInArrow(run, "key long, line long, parity long")
+    return docs.mapInArrow(tidy(run), "key long, line long, parity long")
 
 
 def meetings(rows: DataFrame, edits: int) -> DataFrame:
-    """``a, b``: lines of which one's segment meets a segment or probe of the other, unless their parities
-    differ by more than the edits can."""
+    """``key, line``: lines that meet another one under a key, where one has it as a segment of its own, unless
+    the parities of all those differ by more than the edits can."""
 
     def of_runs(key: np.ndarray, line: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        met = line & MET > 0
+        out = [(parity[met], line[met] & ~np.int64(MET))]
+        key, line, parity = key[~met], line[~met], parity[~met]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         length = np.diff(np.append(start, len(key)))
-        found: list[np.ndarray] = []
-        pending = 0
-        for at, n in zip(start[length > 1], length[length > 1]):
-            run, where = np.unique(line[at : at + n], return_index=True)
-            of, sign = run & ~np.int64(1), parity[at : at + n][where]
-            own = np.flatnonzero(run & 1 == 0)
-            if not len(own) or of[0] == of[-1]:
+        if len(key):
+            # Most keys have one line alone, from several batches, or probes alone.
+            other = np.concatenate([[False], (key[1:] == key[:-1]) & ((line[1:] ^ line[:-1]) & np.int64(~7) != 0)])
+            useful = np.logical_or.reduceat(other, start) & np.logical_or.reduceat((line & PROBE == 0) | (line & MANY > 0), start)
+            start, length = start[useful], length[useful]
+        for at, n in zip(start, length):
+            many = bool((line[at : at + n] & MANY).any())
+            run, where = np.unique(line[at : at + n] & ~np.int64(MANY), return_index=True)
+            of, sign = run & ~np.int64(PROBE), parity[at : at + n][where]
+            own = run & PROBE == 0
+            if of[0] == of[-1] or not many and not own.any():
                 continue
-            for a in range(0, len(own), 512):
-                part = own[a : a + 512]
-                i, j = np.nonzero((np.bitwise_count(sign[part, None] ^ sign[None]) <= 2 * edits) & (of[part, None] != of[None]))
-                left, right = of[part[i]], of[j]
-                found.append(np.column_stack([np.minimum(left, right), np.maximum(left, right)]))
-                pending += len(i)
-            if pending > 1 << 19:
-                yield pairs(found)
-                found, pending = [], 0
-        if found:
-            yield pairs(found)
-
-    def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.unique(np.concatenate(found), axis=0)
-        return batch_of([both[:, 0], both[:, 1]], ["a", "b"])
+            if not many and len(run) <= TESTED:
+                near = np.bitwise_count(sign[own, None] ^ sign[None]) <= 2 * edits
+                near &= of[own, None] != of[None]
+                hit = near.any(0)
+                hit[own] |= near.any(1)
+                run = run[hit]
+            if len(run):
+                out.append((np.full(len(run), key[at]), run))
+        yield batch_of([np.concatenate(x) for x in zip(*out)], ["key", "line"])
 
-    return by_key(rows, "key", ["key", "line", "parity"], of_runs, "a long, b long").distinct()
+    return by_key(rows, "key", ["key", "line", "parity"], of_runs, "key long, line long")
 
 
 def texts_of_lines(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
@@ -227,26 +259,65 @@ def texts_of_lines(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFr
                 at = np.flatnonzero(np.isin(ids, shared.value)) if shared.value is not None else np.arange(len(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([lines[i] for i in at], pa.string())], names=["line", "text"])
 
-    found = docs.mapInArrow(run, "line long, text string")
+    found = docs.mapInArrow(tidy(run), "line long, text string")
     found = found if few else found.join(wanted, "line", "left_semi")
     return found.groupBy("line").agg(F.first("text").alias("text"))
 
 
-def links(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """``a, b``: different lines within ``edits`` edits."""
-    met = written(meetings(keys(docs, edits, min_chars), edits))
-    wanted = written(met.select(F.explode(F.array("a", "b")).alias("line")).distinct())
-    texts = written(texts_of_lines(docs, wanted, min_chars))
-    left = texts.select(F.col("line").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("line").alias("b"), F.col("text").alias("right"))
+def earliest(met: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """``line, near``: of each line that has one, the place of the first line before it within ``edits`` edits.
+    ``lines`` has ``line, text`` and the ``first`` place of each. A key of very many lines is split by ranges of
+    the earlier side; the least match counts."""
+    counts = met.groupBy("key").agg(F.ceil(F.count("*") / SPLIT).alias("parts"))
+    known = lines.select(F.col("line").alias("of"), "text", "first.*")
+    each = met.withColumn("of", F.col("line").bitwiseAND(~7)).join(known, "of").join(counts, "key")
+    each = each.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    early = (F.pmod(F.xxhash64("of"), "parts") == F.col("part")).alias("early")
+    place = ("doc_id", "th", "at")
+    dealt = each.select("key", "part", "of", (F.col("line").bitwiseAND(PROBE) == 0).alias("own"), early, *place, "text")
+    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", *place)
+
+    def compared(group: pa.Table) -> Iterator[tuple[int, int, int, int]]:
+        texts = group.column("text").to_pylist()
+        parity = Lines(texts).parity
+        of, ids, ths, at = (group.column(c).to_numpy() for c in ("of", *place))
+        own, first = (group.column(c).to_numpy() for c in ("own", "early"))
+        for i in range(1, len(texts)):
+            near = np.bitwise_count(parity[:i] ^ parity[i]) <= 2 * edits
+            near &= first[:i] & (of[:i] != of[i])
+            if not own[i]:
+                near &= own[:i]
+            for j in np.flatnonzero(near):
+                if edit_distance(texts[i], texts[j], edits) <= edits:
+                    yield of[i], ids[j], ths[j], at[j]
+                    break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, part = (rows.column(c).to_numpy() for c in ("key", "part"))
+            cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]), [True]]))
+            found = [x for a, z in zip(cut, cut[1:]) if z - a > 1 for x in compared(rows.slice(a, z - a))]
+            if found:
+                yield batch_of([np.array(x, np.int64) for x in zip(*found)], ["line", *place])
+
         for batch in batches:
-            near = [edit_distance(x, y, edits) <= edits for x, y in zip(column(batch, "left").to_pylist(), column(batch, "right").to_pylist())]
-            keep = pa.array(near, pa.bool_())
-            yield pa.RecordBatch.from_arrays([column(batch, c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+            if not batch.num_rows:
+                continue
+            key, part = (column(batch, c).to_numpy() for c in ("key", "part"))
+            last = int(np.flatnonzero((key == key[-1]) & (part == part[-1]))[0])
+            if held and (last or (column(held[-1], "key")[-1].as_py(), column(held[-1], "part")[-1].as_py()) != (key[-1], part[-1])):
+                yield from flush(pa.Table.from_batches([*held, *[batch.slice(0, last)] * bool(last)]))
+                held = []
+            elif last:
+                yield from flush(pa.Table.from_batches([batch.slice(0, last)]))
+            held.append(batch.slice(last))
+        if held:
+            yield from flush(pa.Table.from_batches(held))
 
-    return met.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    found = dealt.mapInArrow(tidy(run), "line long, doc_id long, th long, at long")
+    return found.groupBy("line").agg(F.min(F.struct(*place)).alias("near"))
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -254,23 +325,22 @@ def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     struct, the lines that are left, and the least document that has an earlier line for a removed one (null
     where nothing is removed)."""
     bound_batches(docs.sparkSession)
-    th = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFF)
     rest = F.struct(*(docs[c] for c in docs.columns if c != "text"))
-    keyed = docs.select(F.col("doc_id").cast("long"), "text", th.alias("th"), rest.alias("rest"))
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", text_hash().alias("th"), rest.alias("rest"))
     known = keyed.filter(F.col("doc_id").isNotNull()).drop("rest")
     seen = written(occurrences(known, min_chars))
-    place = F.struct("doc_id", "at")
+    place = F.struct("doc_id", "th", "at")
     firsts = seen.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    near = written(links(known, edits, min_chars))
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    earliest = both.join(firsts.select(F.col("line").alias("b"), "first"), "b").groupBy("a").agg(F.min("first").alias("near"))
-    judged = firsts.join(earliest, F.col("line") == F.col("a"), "left").select("line", F.least("first", F.coalesce("near", "first")).alias("source"), "last")
+    met = written(meetings(keys(known, edits, min_chars), edits))
+    wanted = written(met.select(F.col("line").bitwiseAND(~7).alias("line")).distinct())
+    some = seen.join(wanted, "line", "left_semi").groupBy("line").agg(F.min(place).alias("first"))
+    near = written(earliest(met, texts_of_lines(known, wanted, min_chars).join(some, "line"), edits))
+    judged = firsts.join(near, "line", "left").select("line", F.least("first", F.coalesce("near", "first")).alias("source"), "last")
     judged = written(judged.filter(F.col("source") < F.col("last")).select("line", "source"))
     small = judged.count() <= BROADCAST_ROWS
     late = seen.join(F.broadcast(judged) if small else judged, "line").filter(F.col("source") < place)
-    per_doc = late.groupBy("doc_id", F.shiftright("at", 40).alias("th")).agg(
-        F.collect_list(F.col("at").bitwiseAND((1 << 40) - 1)).alias("gone"), F.min("source.doc_id").alias("source_doc_id")
-    ).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "gone", "source_doc_id")
+    per_doc = late.groupBy("doc_id", "th").agg(F.collect_list("at").alias("gone"), F.min("source.doc_id").alias("source_doc_id"))
+    per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "gone", "source_doc_id")
     joined = packed(keyed).join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").select("rest", "z", "gone", "source_doc_id")
     schema = T.StructType([keyed.schema["rest"], *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "source_doc_id")), T.StructField("kept", T.StringType())])
 
@@ -287,4 +357,4 @@ def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
             arrays = [column(batch, "rest"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), column(batch, "source_doc_id"), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["rest", "n_lines", "n_removed", "source_doc_id", "kept"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)

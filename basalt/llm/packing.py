@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ChunkMemo, bound_batches, column, written
+from .common import ChunkMemo, bound_batches, column, tidy, written
 
 #: Pieces of one length that one task ranks.
 RANKED = 200_000
@@ -48,7 +48,7 @@ class Vocabulary(ChunkMemo):
     The strings of its added tokens in a text are those tokens, as in the library; what is between is merged."""
 
     def __init__(self, spec: str, pattern: str):
-        super().__init__(300_000)
+        super().__init__(150_000)
         spec = json.loads(spec)
         self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec.get("added_tokens", []) if t["content"]}
         special = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, pattern: str, window: int, end
                 arrays = [pa.array(x, pa.int64()) for x in columns[:5]] + [pa.array(columns[5], pa.binary())] * keep_ids
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", ids binary" * keep_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), PIECES + ", ids binary" * keep_ids)
 
 
 def combinations(present: np.ndarray, window: int) -> np.ndarray:
@@ -218,7 +218,7 @@ def pack(cut: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary_path: str, pattern: str, window: int = 1024, keep_ids: bool = False) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _R, _R_INVERSE, bound_batches, buffers, column, mix, shingles, words, written
+from .common import _R, _R_INVERSE, bound_batches, buffers, column, mix, shingles, tidy, words, written
 
 #: Words of the gram that windows are gathered under.
 ANCHOR = 4
@@ -116,7 +116,7 @@ def path_rows(docs: DataFrame, window: int) -> DataFrame:
             yield found_rows(doc[late], th[late], begin[late], n[late])
             yield batch_of([anchor[lead], path[lead], doc[lead], place(begin[lead], n[lead], th[lead])], _NAMES)
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(tidy(run), ROWS)
 
 
 def by_key(rows: DataFrame, key: str, names: list[str], of_runs, schema: str) -> DataFrame:
@@ -134,7 +134,7 @@ def by_key(rows: DataFrame, key: str, names: list[str], of_runs, schema: str) ->
         if held and len(held[0]):
             yield from of_runs(*held)
 
-    return rows.repartition(key).sortWithinPartitions(key).select(key, *(c for c in names if c != key)).mapInArrow(run, schema)
+    return rows.repartition(key).sortWithinPartitions(key).select(key, *(c for c in names if c != key)).mapInArrow(tidy(run), schema)
 
 
 FOUND = "doc_id long, th long, first long, n long, open boolean"
@@ -180,7 +180,7 @@ def packed(docs: DataFrame) -> DataFrame:
             z = pa.array([press((x or "").encode()) for x in column(batch, "text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), z], names=[*names, "z"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def texts_of(z: pa.Array) -> list[bytes]:
@@ -210,7 +210,7 @@ def single_windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
             doc, th = column(batch, "doc_id").to_numpy()[row], column(batch, "th").to_numpy()[row]
             yield batch_of([w, doc, place(begin, np.ones_like(begin), th)], ["w", "doc_id", "at"])
 
-    return with_runs(docs, runs, "inner").mapInArrow(run, "w long, doc_id long, at long")
+    return with_runs(docs, runs, "inner").mapInArrow(tidy(run), "w long, doc_id long, at long")
 
 
 def repeated_singles(singles: DataFrame) -> DataFrame:
@@ -249,4 +249,4 @@ def dedup(docs: DataFrame, window: int = 13) -> DataFrame:
             arrays = [column(batch, "doc_id"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return with_runs(keyed, runs, "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return with_runs(keyed, runs, "left").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept string")

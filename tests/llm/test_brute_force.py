@@ -11,7 +11,7 @@ import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from basalt.llm import bpe, fingerprint, jaccard, linededup, packing, queries
+from basalt.llm import bpe, fingerprint, jaccard, langid, linededup, packing, queries
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -42,6 +42,39 @@ def test_line_dedup(spark, small, docs):
         assert (r.n_lines, r.n_removed, r.kept_sha256) == (len(lines), len(lines) - len(kept), sha("\n".join(kept)))
 
 
+@pytest.mark.parametrize("limits", [(16, 2048, 20_000), (2, 3, 7)])
+def test_line_dedup_of_many_near_lines(spark, monkeypatch, limits):
+    """Hundreds of lines that differ by few edits, with keys that are hot and split where the limits are small."""
+    for name, value in zip(("KEPT", "TESTED", "SPLIT"), limits):
+        monkeypatch.setattr(linededup, name, value)
+    r = random.Random(3)
+    base = "the quick brown fox jumps over the lazy dog again"
+    lines = [base]
+    for _ in range(400):
+        x = list(r.choice(lines) if r.random() < 0.6 else base)
+        for _ in range(r.randint(0, 2)):
+            k = r.randrange(len(x))
+            x[k : k + r.randint(0, 1)] = r.choice("abcdefg")
+        lines.append("".join(x))
+    lines += [f"page {k} of the report, section {k % 7}" for k in range(60)]
+    r.shuffle(lines)
+    rows = [(k // 3, "\n".join(lines[k : k + 3])) for k in range(0, len(lines), 3)]
+    places = [(i, n, x) for i, t in rows for n, x in enumerate(t.split("\n"))]
+    source = {}
+    for i, n, x in places:
+        source.setdefault(x, (i, n))
+    first = dict(source)
+    for a in source:
+        for b in first:
+            if first[b] < source[a] and linededup.edit_distance(a, b, 2) <= 2:
+                source[a] = first[b]
+    got = {r.rest.doc_id: (r.n_removed, r.source_doc_id, r.kept) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, t in rows:
+        own = [(n, x) for n, x in enumerate(t.split("\n"))]
+        gone = [n for n, x in own if len(x) >= linededup.MIN_CHARS and source[x] < (i, n)]
+        assert got[i] == (len(gone), min((source[own[n][1]][0] for n in gone), default=None), "\n".join(x for n, x in own if n not in gone))
+
+
 def test_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
@@ -129,6 +162,47 @@ def test_language_id_held_out(spark, small):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.95
 
 
+def test_language_id_against_sets(spark, small):
+    """Languages and scores by the sets of all n-grams, which the filter may only exceed by its false positives."""
+    def grams(text):
+        letters = "".join(c if c.isalpha() else "\0" for c in f"\0{(text or '').lower()}\0")
+        return [letters[i : i + n] for n in langid.SIZES for i in range(len(letters) - n + 1) if "\0" not in letters[i + 1 : i + n - 1]]
+
+    rows = spark.read.parquet(f"{small}/documents.parquet").collect()
+    counts = {}
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            of = counts.setdefault(r.lang, {})
+            for g in grams(r.text):
+                of[g] = of.get(g, 0) + 1
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    top = {}
+    for k, c in counts.items():
+        for g, n in c.items():
+            top[g] = max(top.get(g, 0), n / total[k])
+    got = {r.doc_id: r for r in queries.op8_language_id(spark, small).collect()}
+    for r in rows:
+        own = grams(r.text)
+        held = {k: [g in c for g in own] + [g in c and c[g] / total[k] >= langid.TYPICAL * top[g] for g in own] for k, c in counts.items()}
+        rates = {k: sum(x) / len(x) for k, x in held.items()} if own else {}
+        assert got[r.doc_id].score == pytest.approx(max(rates.values(), default=0), abs=0.03)
+        near = {k for k, x in rates.items() if x >= max(rates.values()) - 0.02} or {"und"}
+        assert got[r.doc_id].lang_pred in near
+
+
+def test_filter_keeps_every_gram(spark):
+    """Nothing is missed, also where the filter is far too small for its n-grams."""
+    texts = [(k, f"{k:x} " + " ".join("".join(random.Random(k * 100 + i).choices("abcdefghijklm", k=6)) for i in range(50))) for k in range(40)]
+    df = spark.createDataFrame([(t, f"l{k % 9}") for k, t in texts], "text string, lang string")
+    for most in (langid.MOST, 2 * langid.PART):
+        old, langid.MOST = langid.MOST, most
+        learned = langid.train(df)
+        langid.MOST = old
+        for r in langid.gram_counts(df).collect():
+            mask = learned.lookup(np.array([r.gram], np.int64).view(np.uint64))[0, 0]
+            assert mask >> learned.langs.index(r.lang) & 1
+
+
 def test_packing(spark, small, docs):
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = queries.op9_packing(spark, small).collect()
