@@ -25,7 +25,10 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 LEAST = 0.5
+CUE_WORDS = ("license", "licence", "copyright", "rights reserved", "released under", "spdx", "public domain")
 CUES = "licen[sc]e|copyright|rights reserved|released under|spdx|public domain"
 TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 
@@ -116,24 +119,35 @@ def weights() -> tuple[dict[str, float], list[tuple[str, str, float]], float]:
     return idf, rows, math.log(1 + n) + 1
 
 
-def wide_licences(files: DataFrame) -> DataFrame:
+def unit_terms(files: DataFrame) -> DataFrame:
+    """``p, th, unit, wide, terms`` of the texts that speak of licences: the words of each cue line, and of each wider
+    part the distinct pairs that a licence's text has. One pass over the texts, written as the table that all else
+    reads."""
+    known = ", ".join(f"'{w}'" for w in sorted({row[2] for row in wide_weights()}))
+    said = " OR ".join(f"contains(t, '{cue}')" for cue in CUE_WORDS)
+    word = WORD.replace(chr(92), chr(92) * 2)
+    # Lines, flags and words are bound once: what refers to them may be pushed down and computed again.
+    units = F.expr(
+        f"""element_at(transform(array(split(text, '\n')), ls -> concat(
+            transform(filter(ls, x -> lower(x) RLIKE '{CUES}'), x -> named_struct('wide', false, 'terms', regexp_extract_all(lower(x), '{TERM}', 0))),
+            transform(array(
+                array_join(element_at(transform(array(transform(ls, x -> lower(x) RLIKE '{CUES}')), f ->
+                    filter(ls, (x, i) -> array_contains(slice(f, greatest(1, i + 1 - {NEAR}), least({2 * NEAR + 1}, i + 1 + {NEAR})), true))), 1), '\n'),
+                array_join(slice(filter(ls, x -> x RLIKE '[A-Za-z0-9]'), 1, {FIRST}), '\n'),
+                text), words -> named_struct('wide', true, 'terms',
+                element_at(transform(array(regexp_extract_all(replace(lower(words), 'licence', 'license'), '{word}', 0)), t ->
+                    array_distinct(filter(zip_with(t, slice(t, 2, size(t)), (a, b) -> concat(a, ' ', b)), x -> x IN ({known})))), 1))))), 1)"""
+    )
+    some = files.filter(F.expr(f"exists(array(lower(text)), t -> {said})"))
+    each = some.select("p", "th", F.posexplode(units).alias("unit", "u")).select("p", "th", "unit", "u.wide", "u.terms")
+    return written(each.filter(F.size("terms") > 0))
+
+
+def wide_licences(units: DataFrame) -> DataFrame:
     """``p, th, licence, score`` of the files whose header, first lines or whole text reach ``LEAST``."""
-    rows = files.sparkSession.createDataFrame(wide_weights(), "licence string, number int, term string, weight double, idf double")
+    rows = units.sparkSession.createDataFrame(wide_weights(), "licence string, number int, term string, weight double, idf double")
     known = F.broadcast(rows.groupBy("term", "idf").agg(F.collect_list(F.struct("licence", "number", "weight")).alias("of")))  # the texts' pairs
-    # Lines and flags are bound once: what refers to them may be pushed down and computed again.
-    parts = F.expr(
-        f"""element_at(transform(array(split(text, '\\n')), ls -> array(
-            array_join(element_at(transform(array(transform(ls, x -> lower(x) RLIKE '{CUES}')), f ->
-                filter(ls, (x, i) -> array_contains(slice(f, greatest(1, i + 1 - {NEAR}), least({2 * NEAR + 1}, i + 1 + {NEAR})), true))), 1), '\n'),
-            array_join(slice(filter(ls, x -> x RLIKE '[A-Za-z0-9]'), 1, {FIRST}), '\n'),
-            text)), 1)"""
-    )
-    units = files.filter(F.lower("text").rlike(CUES)).select("p", "th", F.posexplode(parts).alias("unit", "words"))
-    two = F.expr(
-        f"""element_at(transform(array(regexp_extract_all(replace(lower(words), 'licence', 'license'), '{WORD.replace(chr(92), chr(92) * 2)}', 0)), t ->
-            zip_with(t, slice(t, 2, size(t)), (a, b) -> concat(a, ' ', b))), 1)"""
-    )
-    terms = units.select("p", "th", "unit", F.explode(two).alias("term")).join(known, "term").dropDuplicates(["p", "th", "unit", "term"])
+    terms = units.filter("wide").select("p", "th", "unit", F.explode("terms").alias("term")).join(known, "term").dropDuplicates(["p", "th", "unit", "term"])
     norms = terms.groupBy("p", "th", "unit").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
     each = terms.select("p", "th", "unit", "idf", F.inline("of"))
     dots = each.groupBy("p", "th", "unit", "licence", "number").agg(F.sum(F.col("idf") * F.col("weight")).alias("dot"), F.count("*").alias("n"))
@@ -148,19 +162,18 @@ def own_licences(files: DataFrame) -> DataFrame:
     idf, rows, rarest = weights()
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))  # the templates' words
     template = F.broadcast(spark.createDataFrame(rows, "licence string, term string, weight double"))
-    header = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.lower(line).rlike(CUES))
-    lines = files.select("p", "th", F.posexplode(header).alias("line", "words"))
-    terms = lines.select("p", "th", "line", F.explode(F.regexp_extract_all(F.lower("words"), F.lit(TERM), F.lit(0))).alias("term"))
-    counted = terms.groupBy("p", "th", "line", "term").count()
+    units = unit_terms(files)
+    terms = units.filter("not wide").select("p", "th", "unit", F.explode("terms").alias("term"))
+    counted = terms.groupBy("p", "th", "unit", "term").count()
     vectors = counted.join(known, "term", "left").withColumn("x", F.col("count") * F.coalesce("idf", F.lit(rarest)))
-    norms = vectors.groupBy("p", "th", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = vectors.join(template, "term").groupBy("p", "th", "line", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["p", "th", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= LEAST)
-    scored = scored.select("p", "th", "licence", "score", F.lit(0).alias("part")).unionByName(wide_licences(files).withColumn("part", F.lit(1)))
+    norms = vectors.groupBy("p", "th", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = vectors.join(template, "term").groupBy("p", "th", "unit", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, ["p", "th", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= LEAST)
+    scored = scored.select("p", "th", "licence", "score", F.lit(0).alias("part")).unionByName(wide_licences(units).withColumn("part", F.lit(1)))
     # A sentence that reserves all rights also stands above licences.
     scored = scored.withColumn("part", F.col("part") + F.when(F.col("licence") == "Proprietary", 2).otherwise(0))
     best = F.min(F.struct("part", (-F.col("score")).alias("s"), "licence")).alias("best")
-    return scored.groupBy("p", "th").agg(best).select("p", "th", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score"))
+    return written(scored.groupBy("p", "th").agg(best).select("p", "th", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score")))
 
 
 def parent(path: Column) -> Column:
@@ -170,11 +183,13 @@ def parent(path: Column) -> Column:
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", licence_file: Column | None = None) -> DataFrame:
     """The files (without ``text``) with ``licence, score, how, licence_dir``. ``how`` is ``own``, ``inherited``
-    or ``none``. ``licence_file`` says which files speak for their directory: by default those named so."""
+    or ``none``. ``licence_file``, a condition on the path ``p``, says which files speak for their directory: by default those named so."""
     named = F.col("p").rlike(r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$") if licence_file is None else licence_file
-    keyed = files.withColumns({"p": F.coalesce(F.col(path), F.lit("")), "th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    own = own_licences(keyed.select("p", "th", F.col(text).alias("text")))
-    rows = keyed.drop(text, "licence", "score", "how", "licence_dir").withColumn("dir", parent(F.col("p")))
+    out = ("licence", "score", "how", "licence_dir")
+    kept = [c for c in files.columns if c not in (text, *out)]
+    keyed = files.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.coalesce(F.col(path), F.lit("")).alias("p"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
+    own = own_licences(keyed.select("p", "th", "text"))
+    rows = keyed.drop("text").withColumn("dir", parent(F.col("p")))
     spoken = own.filter(named).withColumn("dir", parent(F.col("p"))).filter(F.col("dir").isNotNull())
     of_dir = spoken.groupBy("dir").agg(F.min_by("licence", F.struct("p", "licence")).alias("dir_licence"))
     # Every directory's ancestors, itself included; each directory once, however many files it has.
@@ -185,13 +200,13 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", licence_file:
     found = nearest.select(F.col("below").alias("dir"), F.col("x.dir").alias("licence_dir"), F.col("x.dir_licence").alias("dir_licence"))
     joined = rows.join(own, ["p", "th"], "left").join(found, "dir", "left")
     has = F.col("licence").isNotNull()
-    return joined.withColumns(
-        {
-            "how": F.when(has, "own").when(F.col("dir_licence").isNotNull(), "inherited").otherwise("none"),
-            "licence": F.coalesce("licence", "dir_licence"),
-            "licence_dir": F.when(~has, F.col("licence_dir")),
-        }
-    ).drop("p", "th", "dir", "dir_licence")
+    return joined.select(
+        *(F.col(f"row.`{c}`").alias(c) for c in kept),
+        F.coalesce("licence", "dir_licence").alias("licence"),
+        "score",
+        F.when(has, "own").when(F.col("dir_licence").isNotNull(), "inherited").otherwise("none").alias("how"),
+        F.when(~has, F.col("licence_dir")).alias("licence_dir"),
+    )
 
 
 def document_path() -> Column:
