@@ -1,11 +1,13 @@
 """Language identification by bitmask n-gram filters.
 
-Training counts, for every letter n-gram and language, the n-gram's share of that language's n-grams
-over all labelled rows. A language owns the n-grams whose share in it comes near the largest share in
-any language. The owned n-grams go into one bit-sliced Bloom filter: each position holds a mask of
-languages, and the AND of an n-gram's positions is the set of all languages that may contain it. A
-text's n-grams are looked up, hits are counted for each language, the counts are corrected by the
-language's false-positive rate, and the highest corrected rate decides.
+Every letter n-gram that a language's training texts hold is in that language; it is typical of the languages
+where its share comes near its largest share in any. The n-grams go into bit-sliced Bloom filters: each position
+holds a mask of languages, and the AND of an n-gram's positions is the set of all languages that may contain it
+(or that it may be typical of). A text's n-grams are looked up, hits are counted for each language, both counts
+are corrected by the language's false-positive rate, and the highest sum of the corrected rates decides: where much has
+been learned, every language holds nearly every n-gram once, and what is typical tells them apart. The
+filters are sized by the number of n-grams, up to ``MOST`` bytes; beyond, they take in all the same n-grams and get
+denser, which the correction accounts for. They are filled where the n-grams are; the driver gets their blocks.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text when nothing was
 learned (an empty training table, or one without labels). Ties go to the first language by name.
@@ -19,23 +21,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, column, mix
+from .common import bound_batches, column, mix, tidy, written
 
 UNKNOWN = "und"
 SIZES = (3, 4)
 #: Characters that are worked on at a time.
 BLOCK = 1 << 19
-#: An n-gram belongs to the languages where its share is at least this part of its largest share.
-OWNED = 0.5
-#: The most frequent n-grams of each language that are learned: bounds the filter, whatever the corpus.
-LEARNED = 20_000
-#: Positions of the filter for each learned n-gram and language, and probes of each n-gram.
-POSITIONS, PROBES = 16, 3
+#: An n-gram is typical of the languages where its share is at least this part of its largest share.
+TYPICAL = 0.5
+#: Positions of a filter for each n-gram, and probes of each; bytes of a filter at most; positions of a block.
+POSITIONS, PROBES, MOST, PART = 16, 3, 64 << 20, 1 << 14
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,58 +106,80 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 texts = column(batch, "text").filter(pa.array(langs == lang))
                 keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 for points, _ in blocks(texts):
-                    gram, n = np.unique(np.concatenate([h for _, h in grams(points)]), return_counts=True)
+                    gram, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for _, h in grams(points))]), return_counts=True)
                     keys, back = np.unique(np.concatenate([keys, gram]), return_inverse=True)
                     sums = np.bincount(back, np.concatenate([sums, n]), len(keys)).astype(np.int64)
                 if len(keys):
-                    gram, n = keys, sums
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(sums)], names=["lang", "gram", "n"])
 
     part = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    return part.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return part.mapInArrow(tidy(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def masks(counts: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """``gram, has, typical``: of every n-gram the languages that have it, and those it is typical of, as bits."""
+    langs = sorted(totals)
+    bit = F.create_map(*(F.lit(x) for k, lang in enumerate(langs) for x in (lang, 1 << k)))
+    all_ = F.create_map(*(F.lit(x) for lang in langs for x in (lang, totals[lang])))
+    each = counts.select("gram", bit[F.col("lang")].cast("long").alias("bit"), (F.col("n") / all_[F.col("lang")]).alias("share"))
+    by_gram = each.groupBy("gram").agg(F.bit_or("bit").alias("has"), F.max("share").alias("top"), F.collect_list(F.struct("bit", "share")).alias("by"))  # a language each
+    typical = F.expr(f"aggregate(filter(by, x -> x.share >= top * {TYPICAL}), 0L, (m, x) -> m | x.bit)")
+    return by_gram.select("gram", "has", typical.alias("typical"))
+
+
+def positions(h: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    step = mix(h ^ _MIX) | np.uint64(1)
+    for k in range(PROBES):
+        yield ((h + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.int64)
 
 
 class Filter:
-    """Bit-sliced Bloom filter: bit k of a position is set if language k has an n-gram there."""
+    """Bit-sliced Bloom filters: bit k of a position is set if language k has an n-gram there, or if one there
+    is typical of it."""
 
-    def __init__(self, langs: list[str], grams_: np.ndarray, masks: np.ndarray):
+    def __init__(self, langs: list[str], n: int):
         if len(langs) > 63:
             raise ValueError(f"{len(langs)} languages; at most 63 fit the mask")
         self.langs = langs
-        self.size = 1 << max(10, int(len(grams_) * POSITIONS - 1).bit_length())
-        self.slices = np.zeros(self.size, np.uint64)
-        for at in self.positions(grams_):
-            np.bitwise_or.at(self.slices, at, masks)
-        bits = [(self.slices >> np.uint64(k) & np.uint64(1)).mean() for k in range(len(langs))]
+        self.kind = next(np.dtype(f"u{w}") for w in (1, 2, 4, 8) if len(langs) <= 8 * w)
+        self.size = min(MOST // self.kind.itemsize, 1 << max(PART.bit_length() - 1, int(n * POSITIONS - 1).bit_length()))
+        self.slices = np.zeros((2, self.size), self.kind)
+        self.false = np.zeros((2, len(langs)))
+
+    def filled(self, found: list[tuple[int, bytes, bytes]]) -> Filter:
+        for part, *levels in found:
+            for level, block in zip(self.slices, levels):
+                level[part * PART : (part + 1) * PART] = np.frombuffer(block, self.kind)
+        bits = [[self.bit(level, k).mean() for k in range(len(self.langs))] for level in self.slices]
         self.false = np.array(bits) ** PROBES
+        return self
 
-    def positions(self, h: np.ndarray) -> Iterator[np.ndarray]:
-        step = mix(h ^ _MIX) | np.uint64(1)
-        for k in range(PROBES):
-            yield (h + np.uint64(k) * step) & np.uint64(self.size - 1)
+    def bit(self, masks: np.ndarray, k: int) -> np.ndarray:
+        return masks >> self.kind.type(k) & self.kind.type(1)
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
-        """The mask of all languages that may contain each n-gram."""
+        """Two masks for each n-gram: all languages that may contain it, and that it may be typical of."""
         out = None
-        for at in self.positions(h):
-            out = self.slices[at] if out is None else out & self.slices[at]
+        for at in positions(h, self.size):
+            out = self.slices[:, at] if out is None else out & self.slices[:, at]
         return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Language and score. The score is the best rate's lead over all languages' mean rate."""
+        """Language and score: the mean of the best language's two corrected rates."""
         rows = len(texts)
-        seen, hits = np.zeros(rows), np.zeros((len(self.langs), rows))
+        seen, hits = np.zeros(rows), np.zeros((2, len(self.langs), rows))
         for points, owner in blocks(texts):
             for at, h in grams(points):
-                masks, row = self.lookup(h), owner[at]
+                found, row = self.lookup(h), owner[at]
                 seen += np.bincount(row, minlength=rows)
-                for k in range(len(self.langs)):
-                    hits[k] += np.bincount(row[(masks >> np.uint64(k) & np.uint64(1)) > 0], minlength=rows)
+                for level, masks_ in enumerate(found):
+                    for k in range(len(self.langs)):
+                        hits[level, k] += np.bincount(row[self.bit(masks_, k) > 0], minlength=rows)
         found = [UNKNOWN] * rows
         score = np.zeros(rows)
         if self.langs:
-            rates = (hits / np.maximum(seen, 1) - self.false[:, None]) / (1 - self.false[:, None])
-            rates = np.clip(rates, 0, 1)
+            rates = (hits / np.maximum(seen, 1) - self.false[:, :, None]) / np.maximum(1 - self.false[:, :, None], 1e-9)
+            rates = np.clip(rates, 0, 1).mean(0)
             best = rates.argmax(0)
             some = seen > 0
             score = np.where(some, np.take_along_axis(rates, best[None], 0)[0], 0.0)
@@ -165,26 +188,39 @@ class Filter:
 
 
 def train(docs: DataFrame) -> Filter:
-    """Learns from ``lang`` and ``text``. The driver gets ``LEARNED`` n-grams a language at most."""
-    counts = gram_counts(docs)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("_all"))
-    shares = counts.join(totals, "lang").select("gram", "lang", "n", (F.col("n") / F.col("_all")).alias("share"))
-    by_gram = shares.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "share"))).alias("by"))  # as many entries as languages
-    best = F.array_max(F.map_values("by"))
-    owned = by_gram.select("gram", F.explode(F.map_filter("by", lambda k, v: v >= best * OWNED)).alias("lang", "share"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "gram"))
-    top = owned.withColumn("_rank", rank).filter(F.col("_rank") <= LEARNED)
-    found = top.groupBy("gram").agg(F.collect_list("lang").alias("langs")).orderBy("gram").collect()
-    langs = sorted({lang for r in found for lang in r.langs})
-    bit = {lang: 1 << k for k, lang in enumerate(langs)}
-    grams_ = np.array([r.gram for r in found], np.int64).view(np.uint64)
-    return Filter(langs, grams_, np.array([sum(bit[x] for x in r.langs) for r in found], np.uint64))
+    """Learns from ``lang`` and ``text``. The driver gets the languages and the filters, ``MOST`` bytes of each."""
+    counts = written(gram_counts(docs))
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(64).collect()}
+    if not totals:
+        return Filter([], 0)
+    table = written(masks(counts, totals))
+    empty = Filter(sorted(totals), table.count())
+    size, kind = empty.size, empty.kind
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels = [column(batch, c) for c in ("has", "typical")]
+            for at in positions(column(batch, "gram").to_numpy().view(np.uint64), size):
+                arrays = [pa.array((at // PART).astype(np.int32)), pa.array((at % PART).astype(np.int32)), *levels]
+                yield pa.RecordBatch.from_arrays(arrays, names=["part", "at", "has", "typical"])
+
+    def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = {"part": [key[0]]}
+        for c in ("has", "typical"):
+            level = np.zeros(PART, kind)
+            np.bitwise_or.at(level, rows["at"].to_numpy(), rows[c].to_numpy().astype(kind))
+            out[c] = [level.tobytes()]
+        return pd.DataFrame(out)
+
+    dealt = table.mapInArrow(tidy(places), "part int, at int, has long, typical long")
+    found = dealt.groupBy("part").applyInPandas(block, "part int, has binary, typical binary")
+    return empty.filled([(r.part, bytes(r.has), bytes(r.typical)) for r in found.collect()])  # the filters' size
 
 
 def predict(docs: DataFrame, learned: Filter, text: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score``."""
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(learned)  # bounded by LEARNED and POSITIONS
+    shared = docs.sparkSession.sparkContext.broadcast(learned)  # twice MOST bytes
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +229,7 @@ def predict(docs: DataFrame, learned: Filter, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in rest), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*rest, "lang_pred", "score"])
 
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: str = "doc_id"):
