@@ -135,6 +135,12 @@ def test_licences_of_headers_and_files(spark):
     assert [got[f"d{i}/f"] for i in range(len(LICENCES))] == [x for x, _ in LICENCES]
 
 
+def test_licences_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([("a/LICENSE", "The MIT License (MIT)", 1, 2, 3, 4), ("a/b/x", "nothing", 5, 6, 7, 8)], "path string, text string, p int, th int, dir int, dir_licence int")
+    got = {r.path: r for r in licenses.scan(df).collect()}
+    assert tuple(got["a/b/x"][c] for c in ("p", "th", "dir", "dir_licence", "licence", "how", "licence_dir")) == (5, 6, 7, 8, "MIT", "inherited", "a")
+
+
 SECRETS = [
     ("password=CorrectHorseBattery", "CorrectHorseBattery"),
     ("see password: hunter2 and hunter2x", "hunter2"),
@@ -156,3 +162,28 @@ def test_secrets_without_digits_and_of_any_length(spark):
     assert [found[i] for i in range(len(SECRETS))] == [{x} if x else set() for _, x in SECRETS]
     text = {r.doc_id: r.text for r in secretscan.redacted(df).collect()}
     assert [text[i] for i in range(len(SECRETS))] == [re.sub(rf"{x}(?![A-Za-z0-9])", "[REDACTED]", t) if x else t for t, x in SECRETS]
+
+
+def test_forest_removes_false_positives(spark):
+    """Planted findings: fitted on one half, held against the other."""
+    r = random.Random(11)
+    hex_ = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    mixed = lambda n: "".join(r.choices("ABCDEFGHabcdefghijklmnop0123456789", k=n)) + "7"
+    kinds = [
+        (1, lambda: mixed(32), "the access token {} is", "src/app/config/settings.py"), (1, lambda: mixed(24), "curl with secret {} and", "deploy/prod.env"), (1, lambda: hex_(40), "api_key {} used", "conf/service.yaml"),
+        (0, lambda: hex_(40), "fixed in commit {} by", "docs/changes.md"), (0, lambda: f"{hex_(8)}-{hex_(4)}-{hex_(4)}-{hex_(12)}", "the request id {} was", "src/app/log.py"),
+        (0, lambda: f"release-{r.randint(10, 99)}.{r.randint(10, 99)}.{r.randint(1000, 9999)}", "upgrade to {} soon", "docs/news.md"), (0, lambda: f"section{r.randint(100, 999)}introduction", "see {} for more", "docs/guide.md"),
+    ]
+    rows = []
+    for k in range(700):
+        secret, value, near, path = kinds[k % len(kinds)]
+        v = value()
+        rows.append((k, f"{prose(12, k)} {near.format(v)} {prose(12, k + 1)}", path, v, secret))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string, value string, secret int")
+    learn, held = df.filter("doc_id % 2 = 0"), df.filter("doc_id % 2 = 1").cache()
+    truth = {x.doc_id: x for x in held.collect()}
+    found = [(truth[x.doc_id], c) for x in secretscan.scan(held.select("doc_id", "text", "path"), "path", learn).collect() for c in x.found if c.value == truth[x.doc_id].value]
+    assert len(found) == len(truth)
+    hits = sum(c.secret and t.secret == 1 for t, c in found)
+    assert hits / sum(c.secret for _, c in found) > 0.95 and hits / sum(t.secret for t, _ in found) > 0.95
