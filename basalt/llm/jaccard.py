@@ -4,10 +4,12 @@ Tokens are hashes of word n-grams. They have one order: common tokens last, by h
 Jaccard similarity reaches the threshold share a token among their first ones (as many as could be missing
 from a match, and one). Documents with equal sets are one class. Classes are partitioned into groups of
 similar ones: those that share their least common token (least token, where common ones are few) and are
-nearly as large, in parts of some ``GROUP`` members. The matrix has a row for each first token and group that has it. A class looks
-its first tokens up, the hits bound its overlap with anything in a group, and only groups that can still
-reach the threshold are opened: there the bound is checked again against the union of all the group's
-tokens, and what passes is compared with the members exactly.
+nearly as large, in parts of some ``GROUP`` members. First the members of each group are compared with each other, and
+those of a token's further groups with its first one; groups that are linked throughout so count as one. The
+matrix has a row for each first token and such group that has it. A class looks its first tokens up, the hits bound
+its overlap with anything in a group, and only groups that can still reach the threshold are opened: there the
+bound is checked again against the union of all the group's tokens, and what passes is compared with the members
+exactly. Of several links that join the same parts, one is kept; what links have joined is not compared again.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. Texts with
 fewer words than n have one token, the whole sequence. Repeated rows, and rows without an id, are rows like
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, buffers, column, mix, shingles, words, written
+from .common import bound_batches, buffers, column, mix, shingles, text_hash, tidy, words, written
 from .components import components
 
 #: Members of a group, queries that visit a group at a time.
@@ -83,13 +85,13 @@ def common_tokens(docs: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(found[change[at]].view(np.int64)), pa.array(counts[at])], names=["token", "df"])
 
     rows = docs.count()
-    counts = docs.select("text").mapInArrow(run, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
+    counts = docs.select("text").mapInArrow(tidy(run), "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
     common = counts.filter(F.col("df") >= max(8, rows // COMMON)).select("token").toPandas()["token"]
     return np.sort(common.to_numpy(np.int64).view(np.uint64))
 
 
 def sketched(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
-    """``doc_id, size, node, theme, tokens``: of each document its set's size and number, what its group goes
+    """``doc_id, text_hash, size, node, theme, tokens``: of each document its set's size and number, what its group goes
     by, and its first tokens in order, as 64-bit integers."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -108,10 +110,11 @@ def sketched(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataF
                 lead = s[frequent] if 2 * frequent.sum() >= len(s) else s
                 themes.append(int(lead[:1].view(np.int64)[0]) if len(s) else None)
                 tokens.append(order[:first].tobytes() if len(s) else b"")
-            arrays = [column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(themes, pa.int64()), pa.array(tokens, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "size", "node", "theme", "tokens"])
+            arrays = [column(batch, "doc_id"), column(batch, "text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(themes, pa.int64()), pa.array(tokens, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "size", "node", "theme", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size long, node long, theme long, tokens binary")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", text_hash().alias("text_hash"))
+    return keyed.mapInArrow(tidy(run), "doc_id long, text_hash long, size long, node long, theme long, tokens binary")
 
 
 def matrix_rows(classes: DataFrame) -> DataFrame:
@@ -126,33 +129,35 @@ def matrix_rows(classes: DataFrame) -> DataFrame:
             for i in range(0, len(whole[0]), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 18)], pa.int64()) for x in whole], names=["token", "group", "node", "size"])
 
-    return classes.mapInArrow(run, "token long, group long, node long, size long")
+    return classes.mapInArrow(tidy(run), "token long, group long, node long, size long")
 
 
 def hits(rows: DataFrame, percent: int) -> DataFrame:
     """``node, size, group, c, low, high``: the groups that share first tokens with a class, how many, and the
     least and largest size met there. Reads the matrix in token order; a token of one row is passed over.
-    Each pair of groups is met from the lower one's members."""
+    Each pair of groups is met from the lower one's members; groups with more members have higher numbers."""
 
     def fits(size: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return (percent * low <= 100 * size) & (100 * high >= percent * size)
 
     def of_pairs(i: np.ndarray, j: np.ndarray, group: np.ndarray, node: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         i, j = np.where(group[i] <= group[j], i, j), np.where(group[i] <= group[j], j, i)
-        ok = fits(size[i], size[j], size[j])
+        ok = fits(size[i], size[j], size[j]) & (group[i] != group[j])
         i, j = i[ok], j[ok]
         return [node[i], size[i], group[j], size[j], size[j]]
 
     def of_run(group: np.ndarray, node: np.ndarray, size: np.ndarray) -> Iterator[list[np.ndarray]]:
-        kinds, back, counts = np.unique(group, return_inverse=True, return_counts=True)
+        kinds, back = np.unique(group, return_inverse=True)
+        if len(kinds) == 1:
+            return
         low, high = np.full(len(kinds), 1 << 62), np.zeros(len(kinds), np.int64)
         np.minimum.at(low, back, size)
         np.maximum.at(high, back, size)
-        for a in range(0, len(group), 1024):  # the queries of a long run, some at a time
-            own = back[a : a + 1024, None]
-            k = np.arange(len(kinds))[None]
-            q, k = np.nonzero((k > own) | (k == own) & (counts > 1)[None])
-            q += a
+        asks = np.flatnonzero(back < len(kinds) - 1)  # the largest group need not ask
+        for a in range(0, len(asks), 1024):  # the queries of a long run, some at a time
+            own = asks[a : a + 1024]
+            q, k = np.nonzero(np.arange(len(kinds))[None] > back[own, None])
+            q = own[q]
             ok = fits(size[q], low[k], high[k])
             q, k = q[ok], k[ok]
             yield [node[q], size[q], kinds[k], low[k], high[k]]
@@ -196,7 +201,7 @@ def hits(rows: DataFrame, percent: int) -> DataFrame:
             yield from of_all(held[0], held[1:])
 
     dealt = rows.repartition("token").sortWithinPartitions("token")
-    return dealt.mapInArrow(run, "node long, size long, group long, c long, low long, high long")
+    return dealt.mapInArrow(tidy(run), "node long, size long, group long, c long, low long, high long")
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -211,24 +216,25 @@ def with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             pairs = [(node, s) for node, s in zip(column(batch, "_node").to_pylist(), token_sets(column(batch, "text"), n)) if len(s) and node_of(s) == node]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1].tobytes() for p in pairs], pa.binary())], names=["node", "tokens"])
 
-    sets = found.mapInArrow(run, "node long, tokens binary")
+    sets = found.mapInArrow(tidy(run), "node long, tokens binary")
     return sets.groupBy("node").agg(F.first("tokens").alias("tokens"))  # an id may stand for several rows
 
 
 def links_in(members: pd.DataFrame, visitors: pd.DataFrame, percent: int, inside: bool) -> list[tuple[int, int]]:
     """Links that join what the group's visitors (and, if ``inside``, its members) reach in it: of several
-    links that would join the same parts of the group, one."""
+    links that would join the same parts of the group, one. Members of one component are a part from the start."""
     sets = [np.frombuffer(x, np.uint64) for x in members["tokens"]]
     nodes, sizes = members["node"].tolist(), np.array([len(s) for s in sets])
     union, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(union, kind="stable")
     union, owner = union[order], owner[order]
     least = needed(sizes.min(), percent)
-    part = list(range(len(sets)))
+    first: dict[int, int] = {}
+    part = [first.setdefault(c, i) for i, c in enumerate(members["component"].tolist())]
 
     def root(i: int) -> int:
         while part[i] != i:
-            i = part[i]
+            part[i] = i = part[part[i]]
         return i
 
     def linked(s: np.ndarray) -> np.ndarray:
@@ -248,11 +254,10 @@ def links_in(members: pd.DataFrame, visitors: pd.DataFrame, percent: int, inside
                 part[max(a, b)] = min(a, b)
                 out.append((nodes[i], nodes[j]))
     for node, raw in zip(visitors["node"], visitors["tokens"]):
-        seen = set()
-        for j in linked(np.frombuffer(raw, np.uint64)):
-            if (r := root(j)) not in seen:
-                seen.add(r)
-                out.append((node, nodes[j]))
+        found = {root(j): j for j in linked(np.frombuffer(raw, np.uint64)).tolist()}
+        out += [(node, nodes[j]) for j in found.values()]
+        for r in found:  # the visitor joins them
+            part[r] = min(found)
     return out
 
 
@@ -260,40 +265,69 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     """``a, b``: links between classes, enough to join all that are connected."""
     banded = classes.withColumn("_band", F.floor(F.log("size") / math.log(BAND)))
     counts = banded.groupBy("theme", "_band").agg(F.count("*").alias("_n"))
+    counts = counts.join(counts.groupBy("theme").agg(F.sum("_n").alias("_all")), "theme")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / GROUP))
-    grouped = written(banded.join(counts, ["theme", "_band"]).withColumn("group", F.xxhash64("theme", "_band", part)).drop("theme", "_band", "_n"))
-    met = hits(matrix_rows(grouped.select("group", "node", "size", "tokens")), percent)
+
+    def group_of(band, part):
+        return F.xxhash64("theme", band.cast("long"), part.cast("long"))
+
+    placed = banded.join(counts, ["theme", "_band"]).withColumn("_part", part).withColumn("group", group_of(F.col("_band"), F.col("_part")))
+    grouped = written(placed)
+
+    # Inside the groups, and from a theme's further groups to its first ones.
+    shared = grouped.filter("_all > 1")
+    members = shared.select("node", "group", F.col("node").alias("component"))
+    sideways = shared.filter("_part > 0").select("node", group_of(F.col("_band"), F.lit(0)).alias("group"))
+    downwards = shared.filter("_part = 0 AND _all > _n").withColumn("_down", F.explode(F.array(F.lit(1), F.lit(2))))
+    downwards = downwards.select("node", group_of(F.col("_band") - F.col("_down"), F.lit(0)).alias("group"))
+    visits = sideways.unionByName(downwards).join(members.select("group").distinct(), "group", "left_semi")
+    sets = written(with_sets(docs, shared.select("doc_id", "node"), n))
+    early = written(compared(members, visits.select("node", "group"), sets, percent, inside=True))
+
+    # Groups that are one component throughout are one row of the matrix, whatever their number.
+    known = grouped.join(components(early), "node", "left").select("node", "doc_id", "size", "tokens", "group", F.coalesce("component", "node").alias("component"))
+    ends = known.groupBy("group").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
+    known = known.join(ends, "group").withColumn("_row", F.when(F.col("_least") == F.col("_most"), F.col("_least")).otherwise(F.col("group")))
+    many = known.groupBy("_row").agg(F.floor(F.log2(F.count("*"))).cast("long").alias("_log"))
+    number = F.shiftleft("_log", 56).bitwiseOR(F.xxhash64("_row").bitwiseAND((1 << 56) - 1))
+    known = written(known.join(many, "_row").withColumn("row", number).drop("_row", "_log", "_least", "_most"))
+    met = hits(matrix_rows(known.select(F.col("row").alias("group"), "node", "size", "tokens")), percent)
     total = met.groupBy("node", "size", "group").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
     n_q, low = F.col("size"), F.greatest("low", F.ceil(F.col("size") * percent / 100))
     rest = F.greatest(F.ceil(n_q * percent / 100), F.ceil(F.least("high", F.floor(n_q * 100 / percent)) * percent / 100)) - 1
-    open_ = written(total.filter(F.col("c") + rest >= F.ceil((n_q + low) * percent / (100 + percent))).select("node", "group"))
-
-    opened = open_.select("group").distinct()
-    members = written(grouped.join(opened, "group", "left_semi").select("node", "doc_id", "group"))
-    homes = grouped.select("node", F.col("group").alias("home"), "doc_id")
-    visits = written(open_.join(homes, "node").filter(F.col("home") != F.col("group")))
-    wanted = members.select("doc_id", "node").unionByName(visits.select("doc_id", "node")).distinct()
-    sets = written(with_sets(docs, written(wanted), n))
-
-    # One of a group's members visits for all first. Where that joins two groups, the others needn't.
-    first = visits.groupBy("home", "group").agg(F.min("node").alias("node")).select("node", "group")
-    early = written(compared(members, first, sets, percent, inside=True))
-    part = components(early).select("node", "component")
-    parted = members.join(part, "node", "left").select("group", F.coalesce("component", "node").alias("component"))
-    whole = parted.groupBy("group").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    late = visits.select("node", "group").join(first, ["node", "group"], "left_anti").join(part, "node", "left").join(whole, "group")
-    own = F.coalesce("component", "node")
-    late = written(late.filter((own != F.col("least")) | (own != F.col("most"))).select("node", "group"))
-    hosts = members.join(late.select("group").distinct(), "group", "left_semi")
-    return early.unionByName(compared(hosts, late, sets, percent, inside=False))
-
-
-def compared(members: DataFrame, visits: DataFrame, sets: DataFrame, percent: int, inside: bool) -> DataFrame:
+    open_ = written(total.filter(F.col("c") + rest >= F.ceil((n_q + low) * percent / (100 + percent))).select("node", "size", F.col("group").alias("row")))
+    groups = known.groupBy("row", "group").agg(F.min("size").alias("_low"), F.max("size").alias("_high"))
+    fits = (percent * F.col("_low") <= 100 * F.col("size")) & (100 * F.col("_high") >= percent * F.col("size"))
+    opened = known.join(open_.select("row").distinct(), "row", "left_semi").select("doc_id", "node")
+    asking = known.join(open_.select("node").distinct(), "node", "left_semi").select("doc_id", "node")
+    more = opened.unionByName(asking).distinct().join(sets.select("node"), "node", "left_anti")
+    sets = sets.unionByName(written(with_sets(docs, written(more.select("doc_id", "node")), n)))
+
+    # One of the nodes that are joined already asks first; where that joins it with the whole row, the others needn't.
+    homes = known.select("node", F.col("row").alias("home"), "component")
+    lead = open_.join(homes, "node").groupBy("home", "component", "row").agg(F.min(F.struct("node", "size")).alias("x")).select("x.*", "row")
+    first = lead.join(groups, "row").filter(fits).groupBy("node", "row").agg(F.min("group").alias("group")).select("node", "group")
+    first = written(first)
+    second = written(compared(known, first, sets, percent, inside=False))
+    joined = components(early.unionByName(second))
+    now = known.drop("component").join(joined, "node", "left").select("node", "row", "group", F.coalesce("component", "node").alias("component"))
+    now = written(now)
+    ends = now.groupBy("row").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
+    late = open_.join(now.select("node", "component"), "node").join(ends, "row")
+    late = late.filter((F.col("component") != F.col("_least")) | (F.col("component") != F.col("_most")))
+    late = written(late.join(groups, "row").filter(fits).select("node", "group").join(first, ["node", "group"], "left_anti"))
+    return early.unionByName(second).unionByName(compared(now, late, sets, percent, inside=False))
+
+
+def compared(known: DataFrame, visits: DataFrame, sets: DataFrame, percent: int, inside: bool) -> DataFrame:
     """``a, b``: links of visitors with a group's members, some visitors of a group at a time; and, if
-    ``inside``, of the members with each other."""
+    ``inside``, of the members with each other. ``known`` has ``node, group, component``."""
+    members = known.select("node", "group", "component")
+    if not inside:
+        members = members.join(visits.select("group").distinct(), "group", "left_semi")
     chunks = visits.groupBy("group").agg(F.ceil(F.count("*") / VISITORS).alias("chunks"))
     spread = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)).cast("long") - 1))
-    left = members.join(chunks, "group", "left").select("node", "group", spread.alias("chunk")).join(sets, "node")
+    left = members.join(chunks, "group", "left").select("node", "group", "component", spread.alias("chunk")).join(sets, "node")
     right = visits.join(chunks, "group").select("node", "group", F.pmod(F.xxhash64("node"), "chunks").alias("chunk")).join(sets, "node")
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of their own
 
@@ -304,9 +338,11 @@ def compared(members: DataFrame, visits: DataFrame, sets: DataFrame, percent: in
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``: two documents are linked when
-    100 * shared tokens >= percent * tokens of both, and a component is what links reach."""
+    """``doc_id, n_shingles, component_id, text_hash, component`` for every row of ``docs``: two documents are
+    linked when 100 * shared tokens >= percent * tokens of both, and a component is what links reach. ``component``
+    names it for rows without an id too, and is null for empty sets."""
     bound_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
     rows = written(sketched(docs, n, percent, common_tokens(docs, n)))
     some = rows.filter(F.col("node").isNotNull())
     classes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("theme").alias("theme"), F.first("tokens").alias("tokens"))
@@ -314,5 +350,5 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     found = components(links(docs, classes, n, percent))
     firsts = classes.select("node", F.col("doc_id").alias("first")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = firsts.join(least, "component").select("node", "component_id")
-    return rows.join(named, "node", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = firsts.join(least, "component").select("node", "component_id", "component")
+    return rows.join(named, "node", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "component")

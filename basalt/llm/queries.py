@@ -41,7 +41,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
+    found = jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
