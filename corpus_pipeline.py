@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.llm import jaccard, langid, linededup, packing, secretscan
-from basalt.llm.common import table, written
+from basalt.llm.common import table, text_hash, written
 
 #: Below this score a text's language counts as unknown.
 LEAST_SCORE = 0.2
@@ -38,25 +38,32 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of equal rows, one.
-    Rows without an id stay."""
-    found = jaccard.join(docs.select("doc_id", "text"))
-    later = written(found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
+    """Of each group of near-duplicates the document with the smallest id stays (where rows share that id, the one
+    with the smallest hash of its text); of rows that share id and text, one. Rows without an id stay, all of them."""
+    found = jaccard.join(docs.select("doc_id", "text")).filter(F.col("doc_id").isNotNull())
+    place = F.struct("doc_id", "text_hash")
+    firsts = found.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(place).alias("first"))
+    later = found.join(firsts, "component").filter(place > F.col("first"))
+    later = written(later.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
     small = later.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(later) if small else later, "doc_id", "left_anti").select(*docs.columns)
-    twice = written(docs.groupBy("doc_id").count().filter(F.col("count") > 1).select("doc_id"))
-    if twice.isEmpty():
-        return kept
-    return kept.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), text_hash().alias("_hash"))
+    kept = rows.join(F.broadcast(later) if small else later, ["_id", "_hash"], "left_anti")
+    twice = written(found.groupBy("doc_id", "text_hash").count().filter(F.col("count") > 1).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    if not twice.isEmpty():
+        several = twice.count() <= BROADCAST_ROWS
+        of = kept.join(F.broadcast(twice) if several else twice, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+        kept = kept.join(F.broadcast(twice) if several else twice, ["_id", "_hash"], "left_anti").unionByName(of)
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; every document stays."""
+    """Secrets are replaced in the texts; every document stays, a null text too."""
     return secretscan.redacted(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.lit(0).cast("long"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    """The pieces of all documents and their places in sequences of 1024 tokens. Null texts count as empty; rows
+    that repeat are packed as often."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
