@@ -5,7 +5,7 @@ Jaccard similarity reaches the threshold share a token among their first ones (a
 from a match, and one). Documents with equal sets are one class. Classes are partitioned into groups of
 similar ones: those that share their least common token (least token, where common ones are few) and are
 nearly as large, in parts of some ``GROUP`` members. First the members of each group are compared with each other, and
-those of a token's further groups with its first one; groups that are linked throughout so count as one. The
+those of a token's further groups with its first one; what is linked so counts as one group, whatever its size. The
 matrix has a row for each first token and such group that has it. A class looks its first tokens up, the hits bound
 its overlap with anything in a group, and only groups that can still reach the threshold are opened: there the
 bound is checked again against the union of all the group's tokens, and what passes is compared with the members
@@ -36,7 +36,7 @@ GROUP, VISITORS = 128, 1024
 #: Sizes in a group differ by this factor at most, so that the least size bounds the overlap well.
 BAND = 1.04
 #: A token is common if at least one of so many documents has it; so their number has a bound.
-COMMON = 2000
+COMMON = 20_000
 #: Ids that are broadcast at most; beyond, the join is a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -284,13 +284,12 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     sets = written(with_sets(docs, shared.select("doc_id", "node"), n))
     early = written(compared(members, visits.select("node", "group"), sets, percent, inside=True))
 
-    # Groups that are one component throughout are one row of the matrix, whatever their number.
-    known = grouped.join(components(early), "node", "left").select("node", "doc_id", "size", "tokens", "group", F.coalesce("component", "node").alias("component"))
-    ends = known.groupBy("group").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
-    known = known.join(ends, "group").withColumn("_row", F.when(F.col("_least") == F.col("_most"), F.col("_least")).otherwise(F.col("group")))
+    # What links have joined is one row of the matrix, whatever its groups; what stands alone goes by its group.
+    known = grouped.join(components(early), "node", "left").withColumn("_row", F.coalesce("component", "group"))
+    known = known.select("node", "doc_id", "size", "tokens", "group", F.coalesce("component", "node").alias("component"), "_row")
     many = known.groupBy("_row").agg(F.floor(F.log2(F.count("*"))).cast("long").alias("_log"))
     number = F.shiftleft("_log", 56).bitwiseOR(F.xxhash64("_row").bitwiseAND((1 << 56) - 1))
-    known = written(known.join(many, "_row").withColumn("row", number).drop("_row", "_log", "_least", "_most"))
+    known = written(known.join(many, "_row").withColumn("row", number).drop("_row", "_log"))
     met = hits(matrix_rows(known.select(F.col("row").alias("group"), "node", "size", "tokens")), percent)
     total = met.groupBy("node", "size", "group").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
     n_q, low = F.col("size"), F.greatest("low", F.ceil(F.col("size") * percent / 100))
