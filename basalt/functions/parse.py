@@ -11,9 +11,9 @@ def _c(x: Column | str) -> Column:
 
 
 def money(text: Column | str) -> Column:
-    """The first amount, with cents; null where the text says that it isn't disclosed."""
+    """The first amount, with cents; null where the text says that it isn't disclosed, or has a hyphen or dash."""
     amount = F.regexp_extract(_c(text), r"\$?([0-9][0-9,]*(\.[0-9]+)?)", 1)
-    closed = F.lower(_c(text)).rlike("not disclosed|n/a")
+    closed = F.lower(_c(text)).rlike("not disclosed|n/a|\u2014|-")
     return F.when(~closed & (amount != ""), F.regexp_replace(amount, ",", "").try_cast("double"))
 
 
@@ -56,5 +56,6 @@ def name_hash(text: Column | str) -> Column:
 
 def jitter(text: Column | str) -> Column:
     """A fixed offset from -1 to 1 degrees in both directions, so that places of one state don't coincide."""
-    h = name_hash(text)
-    return F.struct(((h % 2001) / 1000.0 - 1.0).alias("lat"), ((F.floor(h / 256) % 2001) / 1000.0 - 1.0).alias("lng"))
+    h = name_hash(F.lower(_c(text)))
+    h = F.abs(F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h))
+    return F.struct(((h % 100 - 50) / 50).alias("lat"), ((F.shiftright(h, 8) % 100 - 50) / 50).alias("lng"))

@@ -55,7 +55,7 @@ def trigrams(text: Column | str) -> Column:
 
 def error_bucket(message: Column | str) -> Column:
     """A failure message with links and long numbers masked, cut at 200 characters."""
-    x = F.regexp_replace(_c(message), r"https?://[^\s]+", "<url>")
+    x = F.regexp_replace(_c(message), r"(?i)https?://[^\s]+", "<url>")
     return F.substring(F.regexp_replace(x, r"\b[0-9]{6,}\b", "<id>"), 1, 200)
 
 

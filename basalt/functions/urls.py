@@ -11,10 +11,11 @@ def _c(x: Column | str) -> Column:
 
 
 def normalized(url: Column | str) -> Column:
-    """Without fragment, scheme and host in lower case, query parameters in order of their names; what is no
+    """Without fragment and default port, scheme and host in lower case, query parameters in order of their names; what is no
     URL stays as it is."""
     u = _c(url)
     origin = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+    origin = F.regexp_replace(origin, "^(http://.*):80$|^(https://.*):443$", "$1$2")
     path = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     params = F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&")
     name = F.transform(params, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("n"), i.alias("i"), p.alias("p")))

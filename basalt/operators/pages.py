@@ -9,26 +9,66 @@ from basalt.functions.text import body_text
 
 
 def waf_class(status: Column, body: Column) -> Column:
-    """``ok``, ``rate_limited``, ``block`` or ``challenge``, by status and text."""
-    text = F.lower(body)
+    """``ok``, ``rate_limited``, ``challenge`` or ``block``: by status, and for a status of 400 or more by the
+    first 8000 characters."""
+    text = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 8000))
+    marked = text.contains("akamai") | text.contains("access denied") | text.contains("captcha") | text.contains("cf-browser-verification")
     return (
         F.when(status == 429, "rate_limited")
-        .when(text.rlike("captcha|verify you are human|just a moment"), "challenge")
-        .when(status.isin(401, 403) | text.rlike("access denied|request blocked"), "block")
+        .when(status.isin(401, 403), "challenge")
+        .when(marked, F.when(status >= 400, "challenge").otherwise("ok"))
         .when(status >= 500, "block")
         .otherwise("ok")
     )
 
 
-def page_block(html: Column, least: int = 2000) -> Column:
-    """Why a catalogue page is no catalogue page; null if it is one."""
-    text = F.lower(html)
+def hard_denial(body: Column) -> Column:
+    """A denial that asking again doesn't lift: it says so, and carries its provider's reference."""
+    text = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 20_000))
+    referred = F.substring(F.coalesce(body, F.lit("")), 1, 4000).rlike(r"(?i)reference\s*#\s*[\d.a-f]+")
+    told = text.contains("edgesuite.net") | text.contains("you don't have permission to access") | text.contains("you dont have permission to access")
+    return text.contains("access denied") & (told | referred)
+
+
+def http_plan(status: Column, body: Column, attempt: Column, most: Column) -> Column:
+    """What follows a response over plain HTTP: ``ok``, ``retry_http``, ``persist_needs_browser`` or ``fail_hard``."""
+    kind = waf_class(status, body)
     return (
-        F.when(F.coalesce(F.trim(html), F.lit("")) == "", "empty")
-        .when(text.rlike("captcha|verify you are human"), "challenge")
-        .when(text.rlike("access denied"), "denied")
-        .when((F.length(html) < least) & ~text.contains("<article"), "thin")
+        F.when(hard_denial(body), "fail_hard")
+        .when(kind == "ok", "ok")
+        .when((kind == "rate_limited") & (attempt < most - 1), "retry_http")
+        .otherwise("persist_needs_browser")
+    )
+
+
+def page_block(status: Column, html: Column) -> Column:
+    """Why a catalogue page is a challenge and no catalogue page, by the first 24,000 characters; null if it is one."""
+    html = F.coalesce(html, F.lit(""))
+    sample = F.lower(F.substring(html, 1, 24_000))
+    restricted = (
+        sample.contains("access is temporarily restricted")
+        | sample.contains("unusual activity from your device")
+        | sample.contains("automated") & sample.contains("bot") & sample.contains("activity on your network")
     )
+    script = sample.contains("captcha-delivery.com") | sample.contains("please enable js") & sample.contains("ad blocker") | sample.contains("datadome")
+    refused = status.isin(401, 403)
+    named = F.regexp_extract(sample, "<title[^>]*>([^<]{0,120})", 1).contains("access denied")
+    forbidden = refused & (named | sample.contains("cf-browser-verification") | sample.contains("just a moment"))
+    thin = (F.length(html) < 2000) & (refused | sample.rlike("captcha|challenge|verify you are human"))
+    return (
+        F.when(hard_denial(html), "akamai_hard_denial")
+        .when(restricted | script, "datadome_challenge")
+        .when(forbidden, "http_forbidden")
+        .when(thin, "thin_challenge_page")
+    )
+
+
+def transient_error(message: Column, code: Column | None = None) -> Column:
+    """Failures of sockets and proxies that are worth another try."""
+    said = F.coalesce(message, F.lit("")).rlike("(?i)fetch failed|ECONNRESET|ECONNREFUSED|ETIMEDOUT|socket hang up|EPIPE|ENOTFOUND|Request was cancelled")
+    if code is None:
+        return said
+    return said | F.coalesce(code.isin("UND_ERR_CONNECT_TIMEOUT", "UND_ERR_HEADERS_TIMEOUT", "UND_ERR_BODY_TIMEOUT", "UND_ERR_SOCKET"), F.lit(False))
 
 
 def title(html: Column) -> Column:

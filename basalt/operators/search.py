@@ -62,7 +62,7 @@ def matches_any(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def matched_words(text: Column, words: tuple[str, ...]) -> Column:
-    return F.filter(F.array(*(F.lit(w) for w in words)), lambda w: text.contains(w))
+    return F.filter(F.array(*(F.lit(w) for w in words)), lambda w: text.contains(F.lower(w)))
 
 
 def trigram_similarity(text: Column, query: str) -> Column:

@@ -479,24 +479,52 @@ def parse_money_scaled(spark, sf_dir):
 
 @query("SELECT s_suppkey, n_name AS city, 'ST' AS state, n_name || ', ST' AS location FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def city_state(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation").limit(1000)), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = s.select("s_suppkey", parse.city_state(F.concat("n_name", F.lit(", ST"))).alias("p"))
     return rows.select("s_suppkey", "p.city", "p.state", parse.location(F.col("p.city"), F.col("p.state")).alias("location"))
 
 
-@query("""WITH h AS (SELECT s_suppkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(s_name, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM supplier)
-    SELECT s_suppkey, h AS hash, round((h % 2001) / 1000.0 - 1.0, 6)::DOUBLE AS lat, round((h // 256 % 2001) / 1000.0 - 1.0, 6)::DOUBLE AS lng FROM h""")
+@query("""WITH u AS (SELECT s_suppkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(lower(s_name), ''), lambda c: ascii(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS u FROM supplier),
+    h AS (SELECT s_suppkey, u, abs(CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END) AS h FROM u)
+    SELECT s_suppkey, u AS hash, round((h % 100 - 50) / 50.0, 6)::DOUBLE AS lat, round((h // 256 % 100 - 50) / 50.0, 6)::DOUBLE AS lng FROM h""")
 def geo_jitter(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", parse.name_hash("s_name").alias("hash"), parse.jitter("s_name").alias("j"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", parse.name_hash(F.lower("s_name")).alias("hash"), parse.jitter("s_name").alias("j"))
     return rows.select("s_suppkey", "hash", F.round(F.col("j.lat").cast("double"), 6).alias("lat"), F.round(F.col("j.lng").cast("double"), 6).alias("lng"))
 
 
-@query("""SELECT page_id, CASE WHEN regexp_matches(lower(html), 'captcha|verify you are human') THEN 'challenge' WHEN regexp_matches(lower(html), 'access denied') THEN 'denied'
-    WHEN length(html) < 2000 AND NOT contains(lower(html), '<article') THEN 'thin' END AS block,
-    CASE WHEN regexp_matches(lower(html), 'captcha|verify you are human|just a moment') THEN 'challenge' WHEN regexp_matches(lower(html), 'access denied|request blocked') THEN 'block' ELSE 'ok' END AS waf FROM pages""")
+_STATUSES = (200, 403, 429, 503, 401)
+_RESPONSES_SQL = """r AS (SELECT page_id, [200, 403, 429, 503, 401][page_id % 5 + 1] AS status, page_id % 3 AS attempt,
+        CASE WHEN page_id % 7 = 0 THEN '<title>Access Denied</title> Reference #18.' || page_id WHEN page_id % 7 = 1 THEN 'please verify you are human' WHEN page_id % 7 = 2 THEN 'datadome ' || html ELSE html END AS body FROM pages),
+    s AS (SELECT *, lower(substr(body, 1, 8000)) AS a, lower(substr(body, 1, 20000)) AS b, lower(substr(body, 1, 24000)) AS c FROM r),
+    d AS (SELECT *, contains(b, 'access denied') AND (contains(b, 'edgesuite.net') OR contains(b, 'you don''t have permission to access') OR contains(b, 'you dont have permission to access')
+        OR regexp_matches(substr(body, 1, 4000), '(?i)reference\\s*#\\s*[\\d.a-f]+')) AS hard,
+        CASE WHEN status = 429 THEN 'rate_limited' WHEN status IN (401, 403) THEN 'challenge' WHEN regexp_matches(a, 'akamai|access denied|captcha|cf-browser-verification') THEN CASE WHEN status >= 400 THEN 'challenge' ELSE 'ok' END
+        WHEN status >= 500 THEN 'block' ELSE 'ok' END AS waf FROM s)"""
+
+
+def responses(spark, sf_dir):
+    """Pages with statuses, and some bodies that are denials or challenges."""
+    k = F.col("page_id")
+    body = F.when(k % 7 == 0, F.concat(F.lit("<title>Access Denied</title> Reference #18."), k.cast("string"))).when(k % 7 == 1, "please verify you are human")
+    body = body.when(k % 7 == 2, F.concat(F.lit("datadome "), "html")).otherwise(F.col("html"))
+    status = F.element_at(F.array(*(F.lit(s) for s in _STATUSES)), (k % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", status.alias("status"), (k % 3).alias("attempt"), body.alias("body"))
+
+
+@query(f"""WITH {_RESPONSES_SQL} SELECT page_id, waf, CASE WHEN hard THEN 'akamai_hard_denial'
+    WHEN regexp_matches(c, 'access is temporarily restricted|unusual activity from your device|captcha-delivery.com|datadome') OR contains(c, 'automated') AND contains(c, 'bot') AND contains(c, 'activity on your network')
+        OR contains(c, 'please enable js') AND contains(c, 'ad blocker') THEN 'datadome_challenge'
+    WHEN status IN (401, 403) AND (contains(regexp_extract(c, '<title[^>]*>([^<]{{0,120}})', 1), 'access denied') OR contains(c, 'cf-browser-verification') OR contains(c, 'just a moment')) THEN 'http_forbidden'
+    WHEN length(body) < 2000 AND (status IN (401, 403) OR regexp_matches(c, 'captcha|challenge|verify you are human')) THEN 'thin_challenge_page' END AS block FROM d""")
 def block_detection(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", pages.page_block(F.col("html")).alias("block"), pages.waf_class(F.lit(200), F.col("html")).alias("waf"))
+    r = responses(spark, sf_dir)
+    return r.select("page_id", pages.waf_class(F.col("status"), F.col("body")).alias("waf"), pages.page_block(F.col("status"), F.col("body")).alias("block"))
+
+
+@query(f"""WITH {_RESPONSES_SQL} SELECT page_id, CASE WHEN hard THEN 'fail_hard' WHEN waf = 'ok' THEN 'ok' WHEN waf = 'rate_limited' AND attempt < 2 THEN 'retry_http' ELSE 'persist_needs_browser' END AS plan FROM d""")
+def http_plan(spark, sf_dir):
+    r = responses(spark, sf_dir)
+    return r.select("page_id", pages.http_plan(F.col("status"), F.col("body"), F.col("attempt"), F.lit(3)).alias("plan"))
 
 
 @query("""WITH p AS (SELECT page_id, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages)
