@@ -527,6 +527,18 @@ def http_plan(spark, sf_dir):
     return r.select("page_id", pages.http_plan(F.col("status"), F.col("body"), F.col("attempt"), F.lit(3)).alias("plan"))
 
 
+@query("""SELECT event_id, regexp_matches(message, '(?i)fetch failed|ECONNRESET|ECONNREFUSED|ETIMEDOUT|socket hang up|EPIPE|ENOTFOUND|Request was cancelled')
+        OR coalesce(code IN ('UND_ERR_CONNECT_TIMEOUT', 'UND_ERR_HEADERS_TIMEOUT', 'UND_ERR_BODY_TIMEOUT', 'UND_ERR_SOCKET'), false) AS transient
+    FROM (SELECT event_id, ['Fetch Failed at ', 'econnreset by ', 'no such page ', 'parse error '][event_id % 4 + 1] || event_type AS message,
+                 CASE WHEN event_id % 3 = 0 THEN 'UND_ERR_SOCKET' WHEN event_id % 3 = 1 THEN 'OTHER' END AS code FROM events WHERE event_type = 'error')""")
+def transient_errors(spark, sf_dir):
+    said = F.array(*(F.lit(x) for x in ("Fetch Failed at ", "econnreset by ", "no such page ", "parse error ")))
+    rows = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    message = F.concat(F.element_at(said, (F.col("event_id") % 4 + 1).cast("int")), "event_type")
+    code = F.when(F.col("event_id") % 3 == 0, "UND_ERR_SOCKET").when(F.col("event_id") % 3 == 1, "OTHER")
+    return rows.select("event_id", pages.transient_error(message, code).alias("transient"))
+
+
 @query("""WITH p AS (SELECT page_id, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages)
     SELECT page_id, path, NOT (starts_with(path, '/de/') AND NOT starts_with(path, '/de/1')) AS allowed FROM p""")
 def robots_eval(spark, sf_dir):

@@ -21,6 +21,7 @@ def test_urls(spark):
 def test_parse(spark):
     assert one(spark, "$1,234.50", parse.money("x")) == 1234.5
     assert one(spark, "Not Disclosed", parse.money("x")) is None
+    assert one(spark, "$1 - $2", parse.money("x")) is None and one(spark, "\u2014", parse.money("x")) is None
     assert one(spark, "$1.5m", parse.money_scaled("x")) == 1_500_000
     assert one(spark, "1.2.3", parse.money_rounded("x")) == 1
     assert one(spark, "est. 1998", parse.year("x")) == 1998
