@@ -1,6 +1,7 @@
 import pytest
 
 from basalt.plans import catalogue
+from basalt.plans import references as _references  # noqa: F401  (its queries join the catalogue)
 
 
 @pytest.mark.parametrize("name", list(catalogue.SQL))
