@@ -84,3 +84,8 @@ def resolved(link: Column | str, page_url: Column | str) -> Column:
     return F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("/"), F.concat(origin, link)).otherwise(
         F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), link)
     )
+
+
+def preferred(url: str, order: str) -> Column:
+    """An aggregate: of the URLs of one reference that of a ``www.`` host, then the first."""
+    return F.min_by(url, F.struct(~host(url).startswith("www."), F.col(order)))

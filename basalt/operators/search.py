@@ -115,3 +115,40 @@ def search_documents(deals: DataFrame, items: DataFrame, deal: str, position: st
     grouped = items.groupBy(deal).agg(F.array_sort(F.collect_list(entry)).alias("items"))  # a deal's own items
     text = F.array_join(F.transform("items", lambda x: F.concat_ws(" ", *(x[f] for f in fields))), " ")
     return deals.join(grouped, deal).withColumn("document", text).withColumn("title", F.col("items")[0][fields[0]]).withColumn("n_items", F.size("items")).drop("items")
+
+
+def missed_words(text: Column, words: tuple[str, ...]) -> Column:
+    return F.filter(F.array(*(F.lit(w) for w in words)), lambda w: ~text.contains(F.lower(w)))
+
+
+def search_url(base: str, query: Column) -> Column:
+    return F.concat(F.lit(f"{base}?q="), F.url_encode(F.trim(query)))
+
+
+def search_page(docs: DataFrame, id_: str, fields: dict[str, float], words: tuple[str, ...], adapter: str | None = None, source: str | None = None, fetched: DataFrame | None = None) -> DataFrame:
+    """``id, kind, rank`` of a whole search: strict and related hits; if there is neither, what contains all words (corpus), or
+    else any (related). A blank query shows the corpus. Records fetched just now (``fetched``: ids) come as corpus of
+    rank 1 instead of as hits. ``source`` keeps records of that ``adapter`` column alone; null, blank and ``all`` keep every one."""
+    if not words:
+        found = docs.select(id_, F.lit("corpus").alias("kind"), F.lit(0.0).alias("rank"))
+    else:
+        any_ = ranked_any(postings(docs, id_, fields), id_, words)
+        strict = F.col("n_terms") == len(set(words))
+        hits = any_.select(id_, F.when(strict, "strict").otherwise("related").alias("kind"), F.when(strict, F.col("rank")).otherwise(F.col("rank") * RELATED_WEIGHT).alias("rank"))
+        none = hits.agg(F.count("*").alias("n")).filter("n = 0").select()
+        text = haystack(*(F.col(f) for f in fields))
+        rest = docs.filter(matches_any(text, words)).select(id_, matches_all(text, words).alias("_all"))
+        whole = rest.agg(F.coalesce(F.bool_or("_all"), F.lit(False)).alias("_some"))  # one row
+        rest = rest.join(F.broadcast(whole), F.col("_all") == F.col("_some")).select(id_, F.when(F.col("_all"), "corpus").otherwise("related").alias("kind"), F.lit(0.0).alias("rank"))
+        found = hits.unionByName(rest.join(F.broadcast(none), how="left_semi"))  # one row or none
+    if fetched is not None:
+        new = fetched.select(id_).distinct()
+        found = found.join(new, id_, "left_anti").unionByName(new.select(id_, F.lit("corpus").alias("kind"), F.lit(1.0).alias("rank")))
+    if adapter and (source or "").strip() not in ("", "all"):
+        found = found.join(docs.filter(F.col(adapter) == source).select(id_), id_, "left_semi")
+    return found
+
+
+def diagnostics(found: DataFrame) -> DataFrame:
+    """How many hits of each kind, and in all."""
+    return found.agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("strict", "related", "corpus")), F.count("*").alias("n_total"))

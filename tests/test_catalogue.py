@@ -1,7 +1,8 @@
 import pytest
 
 from basalt.plans import catalogue
-from basalt.plans import references as _references  # noqa: F401  (its queries join the catalogue)
+from basalt.plans import policies as _policies  # noqa: F401  (these queries join the catalogue)
+from basalt.plans import references as _references  # noqa: F401
 
 
 @pytest.mark.parametrize("name", list(catalogue.SQL))
