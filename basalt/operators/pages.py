@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.functions.text import body_text
+from basalt.operators import robots
 
 
 def waf_class(status: Column, body: Column) -> Column:
@@ -86,8 +87,7 @@ def markdown(html: Column, url: Column) -> Column:
 
 
 def robots_allowed(requests: DataFrame, rules: DataFrame, path: str, request: str) -> DataFrame:
-    """``rules``: ``prefix, allow``, a table of one site's size. The longest rule that a path starts with
-    decides, an allowing one at equal length; without a rule a path is allowed."""
-    met = requests.join(F.broadcast(rules), F.col(path).startswith(F.col("prefix")), "left")
-    best = F.max(F.when(F.col("prefix").isNotNull(), F.struct(F.length("prefix").alias("n"), F.col("allow"))))
-    return met.groupBy(request, path).agg(F.coalesce(best["allow"], F.lit(True)).alias("allowed"))
+    """``rules``: ``prefix, allow`` of one site. The longest rule that a path starts with decides, an allowing one at
+    equal length; without a rule a path is allowed. Repeated requests stay."""
+    one = rules.select(F.lit(0).alias("_site"), "prefix", "allow")
+    return robots.allowed(requests.withColumn("_site", F.lit(0)), one, "_site", path).select(request, path, "allowed")

@@ -118,7 +118,7 @@ def search_documents(deals: DataFrame, items: DataFrame, deal: str, position: st
 
 
 def missed_words(text: Column, words: tuple[str, ...]) -> Column:
-    return F.filter(F.array(*(F.lit(w) for w in words)), lambda w: ~text.contains(F.lower(w)))
+    return F.array_except(F.array(*(F.lit(w) for w in words)), matched_words(text, words))
 
 
 def search_url(base: str, query: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ def put_evidence(rows: DataFrame, path: str, adapter: str, content: str) -> None
     try:
         known = spark.read.parquet(path).select("adapter", "sha256")
         new = new.join(known, ["adapter", "sha256"], "left_anti")
-    except Exception as error:  # the store's first write
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # the store's first write
             raise
     new.write.mode("append").partitionBy("adapter").parquet(path)
 

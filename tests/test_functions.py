@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
-from basalt.functions import parse, text, urls
-from basalt.operators import discovery, resolution, search, state, workspace
+from basalt.functions import contact, parse, text, urls
+from basalt.operators import discovery, ingest, pages, references, resolution, robots, search, state, workspace
 from basalt.sources import tables
 
 
@@ -84,3 +84,70 @@ def test_checkpoint_round_trip(spark, tmp_path):
     refs = spark.createDataFrame([(1, "u1", "1"), (0, "u0", None)], "seq int, url string, external_id string")
     tables.write_checkpoint(refs, str(tmp_path / "c"), 1, "a")
     assert [tuple(r) for r in tables.read_checkpoint(spark, str(tmp_path / "c"), 1, "a").orderBy("seq").collect()] == [(0, "u0", None), (1, "u1", "1")]
+
+
+def test_chains_do_not_join_what_is_unlike_the_representative(spark):
+    records = spark.createDataFrame([(i,) for i in range(1, 6)], "seq long")
+    pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.95), (3, 4, 0.86), (1, 4, 0.85), (1, 5, 0.9), (3, 5, 0.9)], "l long, r long, score double")
+    got = {r.seq: (r.canonical, r.action) for r in ingest.ingested(records, pairs).collect()}
+    assert got == {1: (1, "new"), 2: (1, "merged"), 3: (3, "new"), 4: (3, "merged"), 5: (1, "merged")}
+    assert ingest.ingested(records.limit(0), pairs.limit(0)).count() == 0
+
+
+def test_ingest_equals_one_by_one(spark):
+    import random
+
+    random.seed(5)
+    scores = {(i, j): random.choice([0.8, 0.85, 0.9, 0.95]) for j in range(80) for i in range(j) if random.random() < 0.1}
+    reps, wanted = [], {}
+    for j in range(80):
+        best = max(((scores[i, j], -i) for i in reps if scores.get((i, j), 0) >= 0.85), default=None)
+        wanted[j] = -best[1] if best else j
+        if best is None:
+            reps.append(j)
+    records = spark.createDataFrame([(i,) for i in range(80)], "seq long")
+    pairs = spark.createDataFrame([(i, j, s) for (i, j), s in scores.items()], "l long, r long, score double")
+    assert {r.seq: r.canonical for r in ingest.ingested(records, pairs).collect()} == wanted
+
+
+def test_linked_data(spark):
+    html = """<script type='application/ld+json'>{"a":[{"url":"u/7654321","productId":" "},{"@id":"v","productId":9},{"url":"w"},{"url":"x/7654321"}]}</script><script type="application/ld+json">{no</script>"""
+    assert [tuple(r) for r in one(spark, html, references.linked_data_refs(F.col("x")))] == [("u/7654321", "7654321"), ("v", "9")]
+    assert one(spark, None, references.linked_data_refs(F.col("x"))) == []
+    assert one(spark, "<LOC> a11 </LOC><loc>a11</loc>", references.sitemap(F.col("x"))) == ["a11"]
+
+
+def test_robots(spark):
+    body = "user-agent: a\nuser-agent: *\nDisallow: /\nAllow: /x # y\nCrawl-delay: 0.5\nUser-agent: *\nDisallow: /x\n"
+    rules, delays = robots.policies(spark.createDataFrame([("s", body), ("t", None)], "site string, body string"), "site", "body", "zed")
+    asked = spark.createDataFrame([("s", "/x/1"), ("s", "/y"), ("t", "/y"), ("s", None)], "site string, path string")
+    got = {(r.site, r.path): r.allowed for r in robots.allowed(asked, rules, "site", "path").collect()}
+    assert got == {("s", "/x/1"): True, ("s", "/y"): False, ("t", "/y"): True, ("s", None): True}
+    assert [tuple(r) for r in delays.collect()] == [("s", 500)]
+    one_site = spark.createDataFrame([("/", True), ("/de/", False), ("/de/1", True)], "prefix string, allow boolean")
+    met = pages.robots_allowed(spark.createDataFrame([(1, "/de/2"), (1, "/de/2"), (2, "/de/12"), (3, "")], "id long, path string"), one_site, "path", "id")
+    assert sorted(tuple(r) for r in met.collect()) == [(1, "/de/2", False), (1, "/de/2", False), (2, "/de/12", True), (3, "", True)]
+
+
+def test_contacts(spark):
+    assert one(spark, "Business listed by: A  B\n<script>", contact.person("x")) == "A B"
+    assert one(spark, "Contact form", contact.person("x")) is None and one(spark, None, contact.person("x")) is None
+    assert one(spark, "a b@c.de", contact.internal_user("x")) is True and one(spark, "b@c.de", contact.internal_user("x")) is False
+    assert one(spark, "|| ,", contact.or_clause("x")) is None and one(spark, "a|b c-d", contact.or_clause("x")) == "a | b | cd"
+    assert one(spark, "+1 (555) 123-4567", contact.plausible_phone("x")) is True
+    assert one(spark, "$1,234.5 asking", contact.money_on_request("x")) == 1235
+    assert one(spark, None, contact.shown_money(F.col("x").cast("double"))) == "—" and one(spark, "-0.4", contact.shown_money(F.col("x").cast("double"))) == "-$0"
+    assert one(spark, "120000", contact.shown_duration("x")) == "2m" and one(spark, "999", contact.shown_duration("x")) == "999ms"
+
+
+def test_states_and_stores(spark):
+    now = F.to_timestamp(F.lit("2024-01-02 00:00:00"))
+    rows = spark.createDataFrame([("ingested", "2024-01-01 12:00:00"), ("failed", "2024-01-01 12:00:00"), ("ingested", None), (None, None)], "s string, at string").withColumn("at", F.to_timestamp("at"))
+    assert [r.k for r in rows.select(ingest.skip(F.col("s"), F.col("at"), now, 24).alias("k")).collect()] == ["skipped_fresh", None, None, None]
+    assert [r.k for r in rows.select(ingest.skip(F.col("s"), F.col("at"), now, 0, skip_known=True).alias("k")).collect()] == ["skipped_known", None, "skipped_known", None]
+    a, b = (spark.createDataFrame(x, "k string, v string") for x in ([("x", None)], [("x", "2"), ("y", "3")]))
+    assert sorted(tuple(r) for r in ingest.composite([a, b], "k", "v").collect()) == [("x", 0, None), ("y", 1, "3")]
+    paths = spark.createDataFrame([("w/a",), ("w/../a",), ("w/_snapshots/a",), ("v/a",)], "p string")
+    assert [r.p for r in workspace.under(paths, "p", "w/").collect()] == ["w/a"]
+    empty = spark.createDataFrame([], "price double")
+    assert [tuple(r) for r in workspace.violations(empty, {"some": F.col("price") > 0}).collect()] == [("some", 0)]
