@@ -9,8 +9,8 @@ repeats. Where they differ, the first source of each path is looked up by its co
 are compared one by one, and those that start in a document with a smaller id are repeats too.
 
 Windows are told apart by 64-bit hashes. Null texts count as empty. Rows without an id neither lose words
-nor cost others any. Rows that repeat an id are not smaller than each other, so equal ones are left alone;
-each row gives a row. Texts of any length are read whole; texts shorter than a window are left as they are
+nor cost others any. Rows that repeat an id are not smaller than each other, so equal ones are left alone; those that
+differ are told apart by a 64-bit hash of the text; each row gives a row. Texts of any length are read whole; texts shorter than a window are left as they are
 (but for white space). Other columns play no part. An empty table gives an empty result.
 """
 
@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _R, _R_INVERSE, bound_batches, buffers, column, mix, shingles, tidy, words, written
+from .common import _R, _R_INVERSE, bound_batches, buffers, column, mix, shingles, text_hash, tidy, words, written
 
 #: Words of the gram that windows are gathered under.
 ANCHOR = 4
-#: ``at`` holds the first window, the number of windows (0: a found repeat, its number in ``path``) and 16
-#: bits of the text's hash, which tell rows with one id apart.
-ROWS = "anchor long, path long, doc_id long, at long"
-_NAMES = ["anchor", "path", "doc_id", "at"]
+#: Words of the longest window: the number of windows under one anchor has 16 bits.
+LONGEST = 1 << 16
+#: ``th`` is the text's hash, which tells rows with one id apart; ``at`` holds the first window and the number
+#: of windows (0: a found repeat, its number in ``path``).
+ROWS = "anchor long, path long, doc_id long, th long, at long"
+_NAMES = ["anchor", "path", "doc_id", "th", "at"]
 
 
 def span_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -67,8 +69,8 @@ def paths(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarra
     return row[begin], begin - first[row[begin]], n, best[begin], path
 
 
-def place(first: np.ndarray, n: np.ndarray, th: np.ndarray) -> np.ndarray:
-    return first.astype(np.int64) << 24 | n.astype(np.int64) << 16 | th
+def place(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return first.astype(np.int64) << 16 | n.astype(np.int64)
 
 
 def merged(doc: np.ndarray, th: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -97,7 +99,7 @@ def leaders(*keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def found_rows(doc: np.ndarray, th: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     doc, th, first, n = merged(doc, th, first, n)
-    return batch_of([mix(doc.view(np.uint64)), n, doc, place(first, np.zeros_like(n), th)], _NAMES)
+    return batch_of([mix(doc.view(np.uint64)), n, doc, th, place(first, np.zeros_like(n))], _NAMES)
 
 
 def path_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -114,7 +116,7 @@ def path_rows(docs: DataFrame, window: int) -> DataFrame:
             later = doc[order] > least
             late, lead = order[later], order[~later]
             yield found_rows(doc[late], th[late], begin[late], n[late])
-            yield batch_of([anchor[lead], path[lead], doc[lead], place(begin[lead], n[lead], th[lead])], _NAMES)
+            yield batch_of([anchor[lead], path[lead], doc[lead], th[lead], place(begin[lead], n[lead])], _NAMES)
 
     return docs.mapInArrow(tidy(run), ROWS)
 
@@ -144,8 +146,8 @@ def resolved(rows: DataFrame) -> DataFrame:
     """``doc_id, th, first, n, open``: runs of windows that are repeats, or, where ``open``, that have to be
     looked at one by one."""
 
-    def of_runs(anchor: np.ndarray, path: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        th, n, first = at & 0xFFFF, at >> 16 & 0xFF, at >> 24
+    def of_runs(anchor: np.ndarray, path: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, first = at & 0xFFFF, at >> 16
         done = n == 0
         known = [doc[done], th[done], first[done], path[done]]
         anchor, path, doc, th, n, first = (x[~done] for x in (anchor, path, doc, th, n, first))
@@ -196,7 +198,7 @@ def with_runs(docs: DataFrame, runs: DataFrame, how: str) -> DataFrame:
 
 
 def single_windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """``w, doc_id, at``: the windows of the runs, by their hash."""
+    """``w, doc_id, th, at``: the windows of the runs, by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,26 +210,28 @@ def single_windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
             at = begin + first[row]
             w = span_hashes(hashes, at, at + window)
             doc, th = column(batch, "doc_id").to_numpy()[row], column(batch, "th").to_numpy()[row]
-            yield batch_of([w, doc, place(begin, np.ones_like(begin), th)], ["w", "doc_id", "at"])
+            yield batch_of([w, doc, th, begin], ["w", "doc_id", "th", "at"])
 
-    return with_runs(docs, runs, "inner").mapInArrow(tidy(run), "w long, doc_id long, at long")
+    return with_runs(docs, runs, "inner").mapInArrow(tidy(run), "w long, doc_id long, th long, at long")
 
 
 def repeated_singles(singles: DataFrame) -> DataFrame:
-    def of_runs(w: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def of_runs(w: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         order, _, least = leaders(w, doc=doc)
         late = order[doc[order] > least]
-        parts = [*merged(doc[late], at[late] & 0xFFFF, at[late] >> 24, np.ones(len(late), np.int64))]
+        parts = [*merged(doc[late], th[late], at[late], np.ones(len(late), np.int64))]
         yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in parts), pa.array(np.zeros(len(parts[0]), bool))], names=["doc_id", "th", "first", "n", "open"])
 
-    return by_key(singles, "w", ["w", "doc_id", "at"], of_runs, FOUND)
+    return by_key(singles, "w", ["w", "doc_id", "th", "at"], of_runs, FOUND)
 
 
 def dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for every row: words in a window that also starts in a document
-    with a smaller id are removed, the others are joined by single spaces."""
+    with a smaller id are removed, the others are joined by single spaces. ``window`` is ``ANCHOR`` to ``LONGEST``."""
+    if not ANCHOR <= window <= LONGEST:
+        raise ValueError(f"a window has {ANCHOR} to {LONGEST} words, not {window}")
     bound_batches(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long"), "text", (F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFF)).alias("th"))
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", text_hash().alias("th"))
     found = written(resolved(path_rows(keyed.filter(F.col("doc_id").isNotNull()), window)))
     singles = repeated_singles(single_windows(keyed, found.filter("open"), window))
     runs = found.filter("not open").unionByName(singles)

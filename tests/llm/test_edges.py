@@ -95,6 +95,17 @@ def test_vectors(spark):
     assert kdtree.search(df.limit(0), F.col("vec_id") % 100 == 0, 2).count() == 0
 
 
+def test_substring_of_many_texts_under_one_id(spark):
+    """Rows with one id are told apart by 64 bits: only what repeats a smaller id is removed."""
+    rows = [(7, prose(40, 1000 + k)) for k in range(1200)]
+    copied = [(9, " ".join(rows[k][1].split()[5:25])) for k in range(0, 1200, 40)]
+    df = spark.createDataFrame([*rows, *copied], "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substring.dedup(df).collect()]
+    assert sorted(got) == [(7, 40, 0)] * 1200 + [(9, 20, 20)] * 30
+    with pytest.raises(ValueError):
+        substring.dedup(df, 3)
+
+
 def test_pipeline(spark, odd, tmp_path):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES:
