@@ -95,6 +95,24 @@ def test_vectors(spark):
     assert kdtree.search(df.limit(0), F.col("vec_id") % 100 == 0, 2).count() == 0
 
 
+@pytest.mark.parametrize(("sizes", "spread"), [((1 << 19, 1 << 17, 256, 4096), 40), ((240, 40, 4, 5), 40), ((240, 40, 4, 5), 1), ((240, 40, 4, 5), 1 << 24)])
+def test_vectors_in_several_shards(spark, monkeypatch, sizes, spread):
+    """Shards, blocks, leaves and rows of boxes are small; ties, a third of the vectors equal, one of another length."""
+    for name, value in zip(("SHARD", "BLOCK", "LEAF", "BOXES"), sizes):
+        monkeypatch.setattr(kdtree, name, value)
+    r = random.Random(9)
+    rows = [(i, [float(r.randint(-spread, spread) + 100 * (i % 5)) for _ in range(8)] if i % 3 else [7.0] * 8) for i in range(900)]
+    df = spark.createDataFrame([*rows, (901, [1.0] * 9)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for q, rank, i, score in sorted(map(tuple, kdtree.search(df, F.col("vec_id") % 50 == 0, 10, scale=1).collect())):
+        got.setdefault(q, []).append((score, i))
+    whole = {i: [int(x) for x in v] for i, v in rows}
+    for q in range(0, 900, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:10]
+        assert got[q] == [(-s, i) for s, i in best]
+    assert len(got) == 18
+
+
 def test_substring_of_many_texts_under_one_id(spark):
     """Rows with one id are told apart by 64 bits: only what repeats a smaller id is removed."""
     rows = [(7, prose(40, 1000 + k)) for k in range(1200)]
