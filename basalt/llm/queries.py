@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, jaccard, kdtree, langid, licenses, linededup, packing, secretscan, substring
+from . import bpe, fingerprint, jaccard, kdtree, langid, licenses, linededup, packing, piecebpe, prefixtrie, resample, secretscan, substring
 from .common import table
 
 
@@ -75,6 +75,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.round_trip(docs, *vocabulary))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefixtrie.trie(prefixtrie.rebuilt(prefixtrie.sequences(turns)))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piecebpe.digest(piecebpe.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return resample.draw(docs.select("doc_id", "text"), target.select("text"), keep=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -86,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 SQL: dict[str, str] = {
     "op1_license_scan": licenses.sql(),
@@ -127,4 +145,6 @@ SQL: dict[str, str] = {
         kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t FROM e ANTI JOIN c USING (doc_id, pos) GROUP BY 1)
         SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)""",
+    "op11_prefix_trie": prefixtrie.sql(),
+    "op13_importance_resampling": resample.sql(),
 }
