@@ -205,11 +205,13 @@ def hits(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``node, tokens`` of the wanted ``doc_id, node``: their texts are read again. Few ids are broadcast."""
-    wanted = wanted.select(F.col("doc_id").alias("_of"), F.col("node").alias("_node"))
+    """``node, tokens`` of the wanted ``at, node``: their texts are read again. ``at`` names a row by its id and its text's
+    hash, so that rows that share an id or have none meet only themselves. Few are broadcast."""
+    wanted = wanted.select(F.col("at.doc_id").alias("_of"), F.col("at.text_hash").alias("_hash"), F.col("node").alias("_node"))
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_of"))).select("text", "_node")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", text_hash().alias("text_hash"))
+    found = keyed.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_of"))).select("text", "_node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,12 +283,12 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     downwards = shared.filter("_part = 0 AND _all > _n").withColumn("_down", F.explode(F.array(F.lit(1), F.lit(2))))
     downwards = downwards.select("node", group_of(F.col("_band") - F.col("_down"), F.lit(0)).alias("group"))
     visits = sideways.unionByName(downwards).join(members.select("group").distinct(), "group", "left_semi")
-    sets = written(with_sets(docs, shared.select("doc_id", "node"), n))
+    sets = written(with_sets(docs, shared.select("at", "node"), n))
     early = written(compared(members, visits.select("node", "group"), sets, percent, inside=True))
 
     # What links have joined is one row of the matrix, whatever its groups; what stands alone goes by its group.
     known = grouped.join(components(early), "node", "left").withColumn("_row", F.coalesce("component", "group"))
-    known = known.select("node", "doc_id", "size", "tokens", "group", F.coalesce("component", "node").alias("component"), "_row")
+    known = known.select("node", "at", "size", "tokens", "group", F.coalesce("component", "node").alias("component"), "_row")
     many = known.groupBy("_row").agg(F.floor(F.log2(F.count("*"))).cast("long").alias("_log"))
     number = F.shiftleft("_log", 56).bitwiseOR(F.xxhash64("_row").bitwiseAND((1 << 56) - 1))
     known = written(known.join(many, "_row").withColumn("row", number).drop("_row", "_log"))
@@ -297,10 +299,10 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     open_ = written(total.filter(F.col("c") + rest >= F.ceil((n_q + low) * percent / (100 + percent))).select("node", "size", F.col("group").alias("row")))
     groups = known.groupBy("row", "group").agg(F.min("size").alias("_low"), F.max("size").alias("_high"))
     fits = (percent * F.col("_low") <= 100 * F.col("size")) & (100 * F.col("_high") >= percent * F.col("size"))
-    opened = known.join(open_.select("row").distinct(), "row", "left_semi").select("doc_id", "node")
-    asking = known.join(open_.select("node").distinct(), "node", "left_semi").select("doc_id", "node")
+    opened = known.join(open_.select("row").distinct(), "row", "left_semi").select("at", "node")
+    asking = known.join(open_.select("node").distinct(), "node", "left_semi").select("at", "node")
     more = opened.unionByName(asking).distinct().join(sets.select("node"), "node", "left_anti")
-    sets = sets.unionByName(written(with_sets(docs, written(more.select("doc_id", "node")), n)))
+    sets = sets.unionByName(written(with_sets(docs, written(more.select("at", "node")), n)))
 
     # One of the nodes that are joined already asks first; where that joins it with the whole row, the others needn't.
     homes = known.select("node", F.col("row").alias("home"), "component")
@@ -344,7 +346,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = written(sketched(docs, n, percent, common_tokens(docs, n)))
     some = rows.filter(F.col("node").isNotNull())
-    classes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("theme").alias("theme"), F.first("tokens").alias("tokens"))
+    classes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("size").alias("size"), F.first("theme").alias("theme"), F.first("tokens").alias("tokens"))
     classes = written(classes)
     found = components(links(docs, classes, n, percent))
     firsts = classes.select("node", F.col("doc_id").alias("first")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
