@@ -6,8 +6,9 @@ fingerprint of the whole, and two of them estimate resemblance, containment and
 
 Null texts count as empty and have an empty fingerprint; two empty fingerprints are alike (1.0), an empty
 and a non-empty one are not (0.0). Texts of any length are read whole. In ``edited``, rows that repeat an
-id and a text count once, rows that share an id come by text hash, and rows without an id come last; a
-single document is its own next one; an empty table gives an empty result. Other columns are left out.
+id and a text are one document in the order of ids and come back as often as they are given, rows that share an
+id come by text hash, and rows without an id come last; a single document is its own next one; an empty table gives
+an empty result. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def edited(docs: DataFrame, k: int = K) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th"))
     # Plain keys, for joins that find the texts where the grouping has put them.
     no, id_ = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0))
-    once = keyed.groupBy(no.alias("no"), id_.alias("id"), "th").agg(F.first("text").alias("text"))
+    once = keyed.groupBy(no.alias("no"), id_.alias("id"), "th").agg(F.first("text").alias("text"), F.count("*").alias("times"))
     sizes = keyed.select("doc_id", "th", F.char_length("text").alias("n")).distinct()
     half = F.floor(F.col("n") / 2).cast("int")
     links = following(sizes).select(
@@ -131,6 +132,7 @@ def edited(docs: DataFrame, k: int = K) -> DataFrame:
         F.col("of_no").alias("no"), F.col("of_id").alias("id"), F.col("of_th").alias("th"), "n", "half", head, sketch(F.col("text"), k).alias("next_sketch")
     )
     new = F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("half")), "head")
-    return once.join(heads, ["no", "id", "th"]).select(
-        F.when(~F.col("no"), F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "text", new.alias("edited"), sketch(F.col("text"), k).alias("sketch"), "next_sketch"
+    out = once.join(heads, ["no", "id", "th"]).select(
+        F.when(~F.col("no"), F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "text", new.alias("edited"), sketch(F.col("text"), k).alias("sketch"), "next_sketch", "times"
     ).withColumn("edited_sketch", sketch(F.col("edited"), k))
+    return out.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times", "_each")
