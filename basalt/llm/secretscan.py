@@ -46,7 +46,8 @@ def _q(pattern: str) -> str:
 
 
 _WORDS = r"split(coalesce(text, ''), '[\\s]+')"
-_NAMES = "pass(word|wd|phrase)?|pwd|token|secret|api.?key|access.?key|private.?key|auth|credential|bearer"
+# Lower-case names in the words nearby; what goes on in letters (author, passenger, secretary) is another word.
+_NAMES = "(password|passwd|passphrase|token|secret|api.?key|access.?key|private.?key|credential|authorization)s?(?![a-z])|(?<![a-z])(pass|pwd|auth|bearer)(?![a-z])"
 _PATH_SAMPLE = "(?i)(^|[^a-z])(tests?|spec|examples?|samples?|fixtures?|mocks?|docs?)([^a-z]|$)"
 _PATH_CONFIG = r"(?i)(^|[/.])(env|config|settings|secrets?|credentials?)([/.]|$)|[.](ya?ml|json|toml|ini|cfg|conf|properties|pem|key)$"
 _SAMPLES = "example|sample|dummy|placeholder|changeme|test"
