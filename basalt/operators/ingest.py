@@ -5,31 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.operators.resolution import MERGE
+from basalt.operators import records as one_by_one
 from basalt.operators.state import SATISFIED
 
 
 def ingested(records: DataFrame, pairs: DataFrame, seq: str = "seq") -> DataFrame:
     """``seq, canonical, action``. A record joins the representative that it scores highest with, from ``MERGE`` on (the
     first of equals); if it reaches none, it becomes one. Only representatives are compared with: what is like a member
-    of a group, but unlike its representative, stays out. ``pairs``: ``l, r, score``, the earlier record left.
-
-    A record is decided once all earlier ones that it may join are, or one of them is a representative; each round
-    decides at least all whose earlier ones are decided, so rounds are as many as the longest chain of merges."""
-    edges = pairs.filter(F.col("score") >= MERGE).select("l", "r", "score").checkpoint()
-    state = records.select(seq, F.lit(None).cast("boolean").alias("rep"))
-    while True:
-        above = edges.join(state.select(F.col(seq).alias("l"), "rep"), "l")
-        seen = above.groupBy(F.col("r").alias(seq)).agg(F.bool_or("rep").alias("_joins"), F.count_if(F.col("rep").isNull()).alias("_open"))
-        now = F.when(F.col("_joins"), False).when(F.coalesce("_open", F.lit(0)) == 0, True)
-        state = state.join(seen, seq, "left").select(seq, F.coalesce("rep", now).alias("rep")).checkpoint()
-        if state.filter(F.col("rep").isNull()).isEmpty():
-            break
-    reps = state.filter("rep").select(F.col(seq).alias("l"))
-    best = edges.join(reps, "l").groupBy(F.col("r").alias(seq)).agg(F.max_by("l", F.struct("score", -F.col("l"))).alias("_best"))
-    found = state.join(best, seq, "left")
-    canonical = F.when(F.col("rep"), F.col(seq)).otherwise(F.col("_best"))
-    return found.select(seq, canonical.alias("canonical"), F.when(F.col("rep"), "new").otherwise("merged").alias("action"))
+    of a group, but unlike its representative, stays out. ``pairs``: ``l, r, score``, the earlier record left. These are
+    records without keys, decided component by component."""
+    rows = records.select(F.col(seq).cast("long").alias("seq"), F.array().cast("array<string>").alias("keys"), F.lit(None).cast("string").alias("fingerprint"))
+    found = one_by_one.decided(rows, pairs.select(F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), "score"))
+    return found.select(F.col("seq").alias(seq), "canonical", "action")
 
 
 def composite(stores: list[DataFrame], key: str, *values: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions.text import jaccard, tokens
+from basalt.sources.shared import settled
 
 MERGE, REVIEW = 0.85, 0.55
 
@@ -109,7 +110,7 @@ def clusters(records: DataFrame, pairs: DataFrame, seq: str = "seq") -> DataFram
     best = best_candidate(pairs.select(F.col("r").alias(seq), F.col("l").alias("parent"), "score"), seq, "parent").select(seq, "parent")
     found = records.select(seq).join(best, seq, "left").select(seq, F.coalesce("parent", seq).alias("canonical"))
     while True:
-        found = found.checkpoint()
+        found = settled(found)
         up = found.select(F.col(seq).alias("canonical"), F.col("canonical").alias("_up"))
         further = found.join(up, "canonical").select(seq, F.col("_up").alias("canonical"), (F.col("_up") != F.col("canonical")).alias("_moved"))
         if further.filter("_moved").isEmpty():

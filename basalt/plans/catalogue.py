@@ -7,8 +7,6 @@ records (name, brand as adapter, price); ``events`` is the log of ingest states,
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions import parse, text, urls
 from basalt.operators import discovery, pages, resolution, search, state, workspace
+from basalt.sources.shared import scratch
 from basalt.sources.tables import evidence, table
 from basalt.streaming import ingest
 
@@ -370,7 +369,7 @@ def stream_dedup(spark, sf_dir):
     """Batches of the stream run now, and what they have written is read again."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string"
     source = ingest.stream(spark, f"{sf_dir}/{{events}}.parquet", schema)  # a pattern: one file or a folder
-    shared = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='basalt-')}/stream-{uuid.uuid4().hex}"
+    shared = scratch(spark, "stream")
     once = ingest.deduplicated(source, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type")
     return ingest.drain(once, f"{shared}/out", f"{shared}/checkpoint").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 

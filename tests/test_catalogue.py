@@ -1,7 +1,8 @@
 import pytest
 
 from basalt.plans import catalogue
-from basalt.plans import listings as _listings  # noqa: F401  (these queries join the catalogue)
+from basalt.plans import ingesting as _ingesting  # noqa: F401  (these queries join the catalogue)
+from basalt.plans import listings as _listings  # noqa: F401
 from basalt.plans import policies as _policies  # noqa: F401
 from basalt.plans import references as _references  # noqa: F401
 from basalt.plans import searching as _searching  # noqa: F401
