@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,45 +11,71 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from basalt.functions import urls
-
-REFS = ArrayType(StructType([StructField("url", StringType()), StructField("external_id", StringType())]))
-_DIGITS = re.compile(r"(\d{6,})")
-
-
-def _walk(node: object, found: dict[str, str]) -> None:
-    if isinstance(node, list):
-        for x in node:
-            _walk(x, found)
-    elif isinstance(node, dict):
-        url = next((node[k] for k in ("url", "@id") if isinstance(node.get(k), str)), None)
-        if url:
-            product = str(node["productId"]).strip() if node.get("productId") is not None else ""
-            number = _DIGITS.search(url)
-            if key := product or (number and number[1]):
-                found.setdefault(key, url)
-        for x in node.values():
-            _walk(x, found)
-
-
-@F.pandas_udf(REFS)
-def _refs(blocks: pd.Series) -> pd.Series:
+from basalt.functions.markup import WS
+
+#: Objects with an address, in the order in which a walk meets them.
+FOUND = ArrayType(StructType([StructField("url", StringType()), StructField("product", StringType())]))
+BLOCKS = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
+
+
+def _met(root: object) -> list[dict]:
+    """A list's elements and an object's item are met before the object itself, and that before its other members; each once."""
+    out, todo, entered = [], [root], set()
+    while todo:
+        node = todo.pop()
+        if isinstance(node, tuple):  # an object whose elements and item have been met
+            (node,) = node
+            url = next((node[k] for k in ("url", "@id") if isinstance(node.get(k), str)), None)
+            if url is not None:
+                product = node.get("productId")
+                if isinstance(product, float) and product.is_integer():
+                    product = int(product)
+                out.append({"url": url, "product": None if product is None else str(product)})
+            todo += list(node.values())[::-1]
+        elif isinstance(node, list):
+            todo += node[::-1]
+        elif isinstance(node, dict) and id(node) not in entered:
+            entered.add(id(node))
+            elements = node.get("itemListElement")
+            listed = elements if node.get("@type") in ("ItemList", ["ItemList"]) and isinstance(elements, list) else []
+            todo += [(node,), node.get("item"), *listed[::-1]]
+    return out
+
+
+@F.pandas_udf(FOUND)
+def _objects(blocks: pd.Series) -> pd.Series:
     def of(texts) -> list[dict]:
-        found: dict[str, str] = {}
+        found: list[dict] = []
         for text in texts if texts is not None else ():
             try:
-                _walk(json.loads(text), found)
-            except (ValueError, RecursionError):  # a block that is no JSON, or too deep, tells nothing
+                found += _met(json.loads(text))
+            except (ValueError, RecursionError):  # a block that is no JSON, or too deep to read, tells nothing
                 continue
-        return [{"url": u, "external_id": k} for k, u in found.items()]
+        return found
 
     return blocks.map(of)
 
 
-def linked_data_refs(html: Column) -> Column:
-    """``url, external_id`` of every object with an address and an id (its product id, else six digits or more of the
-    address) in a page's linked data, each id once, in order. Null pages have none."""
-    blocks = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    return _refs(blocks)
+def linked_data_refs(html: Column, kept: Callable[[Column], Column] | None = None, normal: Callable[[Column], Column] | None = None, id_of: Callable[[Column], Column] | None = None) -> Column:
+    """``url, external_id`` of every object with an address and an id in a page's linked data, each id once, in the order of the
+    walk. The id is the product's as it stands, unless that is blank, else what ``id_of`` finds in the address (six digits or
+    more). Addresses must be ``kept`` before and after they are made ``normal``. Null pages have none."""
+    number = id_of or (lambda u: F.regexp_extract(u, "([0-9]{6,})", 1))
+    found = _objects(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(BLOCKS), F.lit(1)))
+    if kept:
+        found = F.filter(found, lambda r: kept(r["url"]))
+
+    def ref(r: Column) -> Column:
+        url = normal(r["url"]) if normal else r["url"]
+        own = F.when(~r["product"].rlike(f"^{WS}*$"), r["product"])
+        return F.struct(url.alias("url"), F.coalesce(own, number(url)).alias("external_id"))
+
+    def once(refs: Column) -> Column:
+        ids = F.transform(refs, lambda r: r["external_id"])
+        return F.filter(refs, lambda r, i: F.array_position(ids, r["external_id"]) == i + 1)
+
+    refs = F.filter(F.transform(found, ref), lambda r: (r["url"] != "") & (r["external_id"] != "") & (kept(r["url"]) if kept else F.lit(True)))
+    return F.element_at(F.transform(F.array(refs), once), 1)  # bound, as a lambda may not hold a Python function
 
 
 def search_results(body: Column) -> Column:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basalt.functions.markup import trimmed
+
 
 def _lines(body: Column) -> Column:
     def line(raw: Column) -> Column:
         x = F.substring_index(raw, "#", 1)
-        value = F.when(F.instr(x, ":") > 0, F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)))
-        return F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), value.alias("value"))
+        value = F.when(F.instr(x, ":") > 0, trimmed(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)))
+        return F.struct(F.lower(trimmed(F.substring_index(x, ":", 1))).alias("key"), value.alias("value"))
 
     rows = F.transform(F.split(F.coalesce(body, F.lit("")), r"\r?\n"), line)
     return F.filter(rows, lambda x: x["value"].isNotNull() & ((x["value"] != "") | (x["key"] == "disallow")))
@@ -49,13 +51,13 @@ def policies(files: DataFrame, site: str, body: str, agent: str) -> tuple[DataFr
 
 
 def allowed(requests: DataFrame, rules: DataFrame, site: str, path: str) -> DataFrame:
-    """Requests with ``allowed``: the longest rule that the path begins with decides, an allowing one at equal length. Beginnings
-    of a path meet rules by equality, so a site of many requests or rules is spread over tasks."""
-    paths = requests.select(site, path).distinct()
-    cuts = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(path), F.lit(1))), lambda n: F.substring(F.col(path), F.lit(1), n)))
-    met = paths.select(site, path, cuts.alias("prefix")).join(rules, [site, "prefix"])
-    best = met.groupBy(site, path).agg(F.max(F.struct(F.length("prefix").alias("n"), F.col("allow")))["allow"].alias("allowed"))
-    return requests.join(best, [site, path], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+    """Requests with ``allowed``: the longest rule that the path begins with decides, an allowing one at equal length. A site's
+    rules, one file's, are one row that its requests meet, so Spark splits the requests of a hot site over tasks."""
+    own = rules.groupBy(F.col(site).alias("_of")).agg(F.collect_set(F.struct(F.length("prefix").alias("n"), "allow", "prefix")).alias("_rules"))
+    met = requests.join(own, F.col(site) == F.col("_of"), "left")
+    fits = F.filter("_rules", lambda r: F.startswith(F.col(path), r["prefix"]))
+    best = F.array_max(F.transform(fits, lambda r: F.struct(r["n"].alias("n"), r["allow"].alias("allow"))))
+    return met.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("_of", "_rules")
 
 
 def resource_blocked(host: Column, kind: Column, blocked: Column, allowed: Column, exempt: Column, images: bool = True) -> Column:

@@ -151,3 +151,37 @@ def test_states_and_stores(spark):
     assert [r.p for r in workspace.under(paths, "p", "w/").collect()] == ["w/a"]
     empty = spark.createDataFrame([], "price double")
     assert [tuple(r) for r in workspace.violations(empty, {"some": F.col("price") > 0}).collect()] == [("some", 0)]
+
+
+def test_robots_with_tabs_and_a_hot_site(spark):
+    """Tabs and other white space around names and values; one site of many paths, one without rules, repeated requests."""
+    body = "User-agent:\t*\n\tDisallow :\t/x \nAllow: /x/open\t# why\nDisallow:\t\nCrawl-delay:\t2\n"
+    rules, delays = robots.policies(spark.createDataFrame([("s", body)], "site string, body string"), "site", "body", "zed")
+    assert {(r.prefix, r.allow) for r in rules.collect()} == {("/x", False), ("/x/open", True)} and delays.first().delay_ms == 2000
+    asked = [("s", f"/x/{k}") for k in range(500)] + [("s", "/x/open/1"), ("s", "/x/open/1"), ("s", "/"), ("t", "/x"), (None, "/x"), ("s", None)]
+    got = robots.allowed(spark.createDataFrame(asked, "site string, path string"), rules, "site", "path")
+    assert got.columns == ["site", "path", "allowed"] and got.count() == len(asked) and got.filter("NOT allowed").count() == 500
+
+
+def test_linked_data_order_filters_and_ids(spark):
+    """An item comes before its list's own address; ids keep their spaces; whole numbers have no point; filters hold twice."""
+    html = """<script type="application/ld+json">{"@type":"ItemList","url":"https://a.example/list/1111111","itemListElement":[
+        {"url":"https://m.a.example/7654321","item":{"url":"https://m.a.example/2222222","productId":" 9 "}},{"@id":"https://b.example/3333333"},{"url":"https://m.a.example/x","productId":9.0},{"url":"https://m.a.example/7654321?again"}]}</script>"""
+    got = one(spark, html, references.linked_data_refs(F.col("x")))
+    assert [tuple(r) for r in got] == [("https://m.a.example/2222222", " 9 "), ("https://m.a.example/7654321", "7654321"), ("https://b.example/3333333", "3333333"), ("https://m.a.example/x", "9"), ("https://a.example/list/1111111", "1111111")]
+    some = references.linked_data_refs(F.col("x"), lambda u: u.contains("a.example/"), lambda u: F.regexp_replace(u, "//m\\.", "//www."), lambda u: F.regexp_extract(u, "/([0-9]+)$", 1))
+    assert [tuple(r) for r in one(spark, html, some)] == [("https://www.a.example/2222222", " 9 "), ("https://www.a.example/7654321", "7654321"), ("https://www.a.example/x", "9"), ("https://a.example/list/1111111", "1111111")]
+
+
+def test_verdicts_on_responses(spark):
+    cases = [
+        (200, "fine", "ok", None, "ok"), (429, "x", "rate_limited", None, "retry_http"), (403, "x", "challenge", "thin_challenge_page", "persist_needs_browser"), (503, "x", "block", None, "persist_needs_browser"), (503, "Captcha", "challenge", "thin_challenge_page", "persist_needs_browser"),
+        (200, "captcha" + " " * 3000, "ok", None, "ok"), (403, "<TITLE>Access Denied</TITLE>" + " " * 3000, "challenge", "http_forbidden", "persist_needs_browser"), (200, "Access Denied. Reference #18.ab", "ok", "akamai_hard_denial", "fail_hard"),
+        (200, "automated bot" + " " * 3000, "ok", None, "ok"), (200, "an automated bot: activity on your network" + " " * 3000, "ok", "datadome_challenge", "ok"), (403, "Just a moment" + " " * 3000, "challenge", "http_forbidden", "persist_needs_browser"), (200, None, "ok", None, "ok"),
+    ]
+    rows = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(cases)], "i int, status int, body string")
+    got = rows.select("i", pages.waf_class(F.col("status"), F.col("body")), pages.page_block(F.col("status"), F.col("body")), pages.http_plan(F.col("status"), F.col("body"), F.lit(0), F.lit(2))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [c[2:] for c in cases]
+    plans = rows.filter("i IN (2, 7)").select("i", *(pages.browser_plan(F.col("status"), F.col("body"), F.lit(k), F.lit(2)) for k in (0, 1))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in plans] == [("retry_browser", "fail_hard"), ("fail_hard", "fail_hard")]
+    assert one(spark, "fetch it", pages.transient_error(F.col("x"), cause=F.lit("Socket Hang Up"))) is True and one(spark, None, pages.transient_error(F.col("x"), F.col("x"))) is False
