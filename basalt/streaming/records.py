@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.operators import fulltext, records
+from basalt.operators import fulltext, records, walks
 from basalt.sources.shared import settled
 
 
@@ -84,3 +84,31 @@ def index(spark: SparkSession, path: str, id_: str, kind: str = "long") -> DataF
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Runs a stream over what is there now."""
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+_REF, _PAGE = "walk string, key string, url string, position long", "walk string, page string, position long, reason string"
+
+
+def walk_batch(path: str, starts: DataFrame, stale: int = 0) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: goes on with every walk over a batch of fetched pages (as ``walks.walked`` takes them) from where
+    the batches before have left it, and writes what is found after each. A batch holds whole pages of a walk from there on;
+    a walk that has stopped for good stays so."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        pages = settled(batch)
+        done = settled(parts(spark, f"{path}/pages", f"{_PAGE}, next string", number))
+        refs = parts(spark, f"{path}/refs", _REF, number).select("walk", "key")
+        last = done.groupBy("walk").agg((F.max("position") + 1).alias("pages"), F.max_by(F.struct("next", "reason"), "position").alias("x"))
+        further = last.filter("x.reason IN ('end', 'pages') AND x.next IS NOT NULL").select("walk", F.col("x.next").alias("page"))
+        begin = starts.select("walk", "page").join(last.select("walk"), "walk", "left_anti").unionByName(further)
+        kept, found = walks.walked(pages, begin, refs, last.select("walk", "pages"), stale)
+        following = pages.groupBy("walk", "page").agg(F.min("next").alias("next"))
+        put(found, f"{path}/refs", number)
+        put(kept.join(following, ["walk", "page"]).select("walk", "page", "position", "reason", "next"), f"{path}/pages", number)
+
+    return run
+
+
+def walk_refs(spark: SparkSession, path: str) -> DataFrame:
+    return parts(spark, f"{path}/refs", _REF).drop("batch")
