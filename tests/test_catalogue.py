@@ -2,6 +2,7 @@ import pytest
 
 from basalt.plans import catalogue
 from basalt.plans import artifacts as _artifacts  # noqa: F401  (these queries join the catalogue)
+from basalt.plans import directories as _directories  # noqa: F401
 from basalt.plans import ingesting as _ingesting  # noqa: F401
 from basalt.plans import listings as _listings  # noqa: F401
 from basalt.plans import policies as _policies  # noqa: F401
