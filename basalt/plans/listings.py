@@ -45,7 +45,10 @@ def number(x):
     return x.cast("string")
 
 
-_ID = F.col("page_id") + 1_000_000
+def listing_number():
+    return F.col("page_id") + 1_000_000
+
+
 _RECORD_SQL = "FROM pages JOIN part ON page_id = p_partkey JOIN supplier ON page_id % 10 = s_suppkey"
 
 
@@ -79,7 +82,7 @@ def listing_market(spark, sf_dir):
         F.col("s_name"), '</div><span class="lblViewTpnTelephone_1"><a href="tel:510555', F.lpad(number(F.col("page_id") % 10_000), 4, "0"), '">call</a></span><a href="mailto:b', number(F.col("s_suppkey")), '@x.example?subject=hello">mail</a>',
         '<a href="/business-broker/b/firm/', number(F.col("s_suppkey")), '/?q=1">View profile</a></div></div>',
     )
-    found = listing_pages.market(listed(spark, sf_dir, block, text("https://www.bizbuysell.com/business-opportunity/x/", number(_ID), "/?from=a#b")))
+    found = listing_pages.market(listed(spark, sf_dir, block, text("https://www.bizbuysell.com/business-opportunity/x/", number(listing_number()), "/?from=a#b")))
     x = F.col("listing")
     note = F.when(x["inventory_included"] & (x["inventory_value"] == 1000), "Included")
     return found.select(
@@ -111,7 +114,7 @@ def listing_facts(spark, sf_dir):
         '</div><ul class="contact_seller_content"><li>Phone: 1<li>Contact: ', F.col("s_name"), "</ul>",
     )
     x = F.col("listing")
-    found = listing_pages.facts(listed(spark, sf_dir, block, text("https://businessbroker.net/business-for-sale/x/", number(_ID), ".aspx")))
+    found = listing_pages.facts(listed(spark, sf_dir, block, text("https://businessbroker.net/business-for-sale/x/", number(listing_number()), ".aspx")))
     return found.select("page_id", *(x[a].alias(b) for a, b in (("asking_price", "asking_price"), ("revenue", "revenue"), ("listing_id", "listing_id"), ("city", "city"), ("state", "state"), ("location", "location"), ("broker_name", "broker"), ("industry", "industry"), ("description", "description"))))
 
 
@@ -135,7 +138,7 @@ def listing_plain(spark, sf_dir):
 @query(f"""SELECT page_id, s_name AS name, p_brand AS firm, '1' || lpad(CAST(page_id AS VARCHAR), 9, '0') AS phone, CAST(page_id + 1000000 AS VARCHAR) AS sold, CAST(page_id + 2000000 AS VARCHAR) || ',' || CAST(page_id + 3000000 AS VARCHAR) AS active {_RECORD_SQL}""")
 def broker_profiles(spark, sf_dir):
     person = F.to_json(F.struct(F.lit("Person").alias("@type"), F.col("s_name").alias("name"), F.struct(F.col("p_brand").alias("name")).alias("worksFor")))
-    sold = text('<a href="/sold-business/x/', F.base64(number(_ID).cast("binary")), '/7/">X</a>')
+    sold = text('<a href="/sold-business/x/', F.base64(number(listing_number()).cast("binary")), '/7/">X</a>')
     block = text(
         '<script type="application/ld+json">', person, '</script><a href="tel:1', F.lpad(number(F.col("page_id")), 9, "0"), '">call</a><section class="sold">', sold, sold, '</section><div id="activeListings"><a href="/about">no</a><a href="/listings/Profile/?q=',
         number(F.col("page_id") + 2_000_000), '">A</a><a href="/business-for-sale/x/', number(F.col("page_id") + 3_000_000), '/?a=1">B</a></div>',

@@ -19,3 +19,12 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    from pathlib import Path
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=Path(__file__).resolve().parent.parent, check=True, timeout=120)
