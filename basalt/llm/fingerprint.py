@@ -120,16 +120,17 @@ def edited(docs: DataFrame, k: int = K) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th"))
     # Plain keys, for joins that find the texts where the grouping has put them.
     no, id_ = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0))
-    once = keyed.groupBy(no.alias("no"), id_.alias("id"), "th").agg(F.first("text").alias("text"), F.count("*").alias("times"))
-    sizes = keyed.select("doc_id", "th", F.char_length("text").alias("n")).distinct()
+    once = keyed.groupBy(no.alias("no"), id_.alias("id"), "th").agg(F.first("text").alias("text"))
+    # How often a row is there goes with the ids: both joins read the same texts, so these are shuffled once.
+    sizes = keyed.groupBy("doc_id", "th", F.char_length("text").alias("n")).agg(F.count("*").alias("times"))
     half = F.floor(F.col("n") / 2).cast("int")
     links = following(sizes).select(
-        no.alias("of_no"), id_.alias("of_id"), F.col("th").alias("of_th"), "n", half.alias("half"),
+        no.alias("of_no"), id_.alias("of_id"), F.col("th").alias("of_th"), "n", "times", half.alias("half"),
         F.col("next_id").isNull().alias("no"), F.coalesce("next_id", F.lit(0)).alias("id"), F.col("next_th").alias("th"),
     )
     head = F.substring("text", F.lit(1), F.col("half")).alias("head")
     heads = once.join(links, ["no", "id", "th"]).select(
-        F.col("of_no").alias("no"), F.col("of_id").alias("id"), F.col("of_th").alias("th"), "n", "half", head, sketch(F.col("text"), k).alias("next_sketch")
+        F.col("of_no").alias("no"), F.col("of_id").alias("id"), F.col("of_th").alias("th"), "n", "times", "half", head, sketch(F.col("text"), k).alias("next_sketch")
     )
     new = F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("half")), "head")
     out = once.join(heads, ["no", "id", "th"]).select(
