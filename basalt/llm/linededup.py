@@ -13,7 +13,8 @@ smaller id, or above it in its own. Lines are judged on the input, not on what i
 ``min_chars`` code points stay. Null texts count as empty; an empty text has one line, which is empty. Rows
 without an id neither lose lines nor cost others any; rows that repeat an id and a text are not earlier than
 each other; of rows that share an id and differ in text, the one with the smaller hash of its text is earlier.
-Texts and lines of any length are read whole. Lines are told apart by 61-bit hashes, rows of one id by 64-bit
+Texts and lines of any length are read whole; ``min_chars`` below ``2 edits + 1`` is an error, as such a line may be near one
+too short to be cut. Lines are told apart by 61-bit hashes, rows of one id by 64-bit
 hashes. Other columns pass through in ``rest``. An empty table gives an empty result.
 """
 
@@ -328,6 +329,8 @@ def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     rest = F.struct(*(docs[c] for c in docs.columns if c != "text"))
     keyed = docs.select(F.col("doc_id").cast("long"), "text", text_hash().alias("th"), rest.alias("rest"))
     known = keyed.filter(F.col("doc_id").isNotNull()).drop("rest")
+    if min_chars < 2 * edits + 1:
+        raise ValueError("lines need 2 * edits + 1 characters at least: shorter ones have partners without a segment of their own")
     seen = written(occurrences(known, min_chars))
     place = F.struct("doc_id", "th", "at")
     firsts = seen.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))

@@ -77,6 +77,12 @@ def test_line_dedup_of_odd_rows(odd):
     assert got[1] == (1, 0, None) and got[2] == (1, 1, 1) and got[3] == (1, 0, None) and got[10] == (3, 1, 1) and got[None][1] == 0
 
 
+def test_line_dedup_refuses_lines_too_short_to_cut(odd):
+    with pytest.raises(ValueError, match="characters"):
+        linededup.dedup(odd, edits=2, min_chars=4)
+    assert linededup.dedup(odd, edits=2, min_chars=5).count() == len(ROWS)
+
+
 def test_substring_of_odd_rows(odd):
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.dedup(odd).filter("doc_id is not null").collect()}
     assert got[1] == (120, 0) and got[2] == (120, 120) and got[3] == (0, 0) and got[6] == (120, 112) and got[7] == (2, 0)
