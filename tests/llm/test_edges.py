@@ -231,3 +231,55 @@ def test_forest_removes_false_positives(spark):
     assert len(found) == len(truth)
     hits = sum(c.secret and t.secret == 1 for t, c in found)
     assert hits / sum(c.secret for _, c in found) > 0.95 and hits / sum(t.secret for t, _ in found) > 0.95
+
+
+def test_fingerprints_of_repeated_rows_against_plain_python(spark):
+    """Sketches, likenesses and containment held against sets of hashes; repeated rows come back as often as they are given."""
+    import xxhash
+
+    def hashed(value, seed=42):
+        data = value.encode() if isinstance(value, str) else (value % (1 << 64)).to_bytes(8, "little")
+        h = xxhash.xxh64_intdigest(data, seed)
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    def sketch_of(text):
+        h = [hashed(w) for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        runs = [h] if 0 < len(h) < 5 else [h[i : i + 5] for i in range(len(h) - 4)]
+        out = set()
+        for run in runs:
+            seed = 42
+            for x in run:
+                seed = hashed(x, seed % (1 << 64))
+            out.add(seed)
+        return sorted(out)[:128]
+
+    def alike(a, b):
+        both = sorted(set(a) | set(b))[:128]
+        return len(set(a) & set(b) & set(both)) / len(both) if both else 1.0
+
+    def count(a):
+        return float(len(a)) if len(a) < 128 else 127 / ((a[-1] + 2.0**63) / 2.0**64)
+
+    rows = [(1, BASE), (1, BASE), (2, BASE.replace("a", "b", 3)), (3, None), (3, None), (4, prose(400, 8)), (5, prose(400, 8) + " " + prose(300, 9)), (6, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_chars, r.edited, tuple(r.sketch), tuple(r.edited_sketch), tuple(r.next_sketch)) for r in fingerprint.edited(df).collect())
+    once = sorted(set(rows), key=lambda r: r[0])
+    want = []
+    for i, (doc, text) in enumerate(once):
+        text, after = text or "", once[(i + 1) % len(once)][1] or ""
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        want += [(doc, len(text), edited, *(tuple(sketch_of(t)) for t in (text, edited, after)))] * rows.count((doc, once[i][1]))
+    assert got == sorted(want) and len(got) == len(rows)
+    pairs = [(sketch_of(a), sketch_of(b)) for _, a in once for _, b in once]
+    a, b = F.col("a"), F.col("b")
+    table = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a array<long>, b array<long>")
+    for r in table.select("k", fingerprint.resemblance(a, b).alias("r"), fingerprint.containment(a, b).alias("c"), fingerprint.distinct(a).alias("n")).collect():
+        x, y = pairs[r.k]
+        union = sorted(set(x) | set(y))[:128]
+        shared = alike(x, y) * (count(union) if union else 0.0)
+        assert r.r == pytest.approx(alike(x, y)) and r.n == pytest.approx(count(x) if x else 0.0)
+        assert r.c == pytest.approx(1.0 if not x else min(1.0, shared / max(1.0, count(x))))
+    parts = spark.createDataFrame([("k", BASE), ("k", None), ("k", prose(300, 5)), ("e", None), (None, "x y")], "key string, text string")
+    merged = {r.key: tuple(r.sketch) for r in fingerprint.sketch_parts(parts, "key").collect()}
+    assert merged["k"] == tuple(sorted(set(sketch_of(BASE)) | set(sketch_of(prose(300, 5))))[:128]) and merged["e"] == () and merged[None] == tuple(sketch_of("x y"))
+    assert fingerprint.sketch_parts(parts.limit(0), "key").count() == 0
