@@ -473,7 +473,9 @@ def parse_money_year(spark, sf_dir):
 @query("SELECT c_custkey, floor(c_acctbal / 1000 * 1000 + 0.5)::DOUBLE AS scaled FROM customer WHERE c_acctbal >= 0".replace("c_acctbal / 1000 * 1000", "round(c_acctbal / 1000, 2) * 1000"))
 def parse_money_scaled(spark, sf_dir):
     c = table(spark, sf_dir, "customer").filter("c_acctbal >= 0")
-    return c.select("c_custkey", parse.money_scaled(F.concat(F.lit("$"), F.round(F.col("c_acctbal") / 1000, 2).cast("string"), F.lit("k"))).alias("scaled"))
+    # Rounded as the SQL does: the product's halves, not those of the shortest decimal.
+    thousands = F.round(F.col("c_acctbal") / 1000 * 100, 0) / 100
+    return c.select("c_custkey", parse.money_scaled(F.concat(F.lit("$"), thousands.cast("string"), F.lit("k"))).alias("scaled"))
 
 
 @query("SELECT s_suppkey, n_name AS city, 'ST' AS state, n_name || ', ST' AS location FROM supplier JOIN nation ON s_nationkey = n_nationkey")

@@ -185,3 +185,15 @@ def test_verdicts_on_responses(spark):
     plans = rows.filter("i IN (2, 7)").select("i", *(pages.browser_plan(F.col("status"), F.col("body"), F.lit(k), F.lit(2)) for k in (0, 1))).orderBy("i").collect()
     assert [tuple(r)[1:] for r in plans] == [("retry_browser", "fail_hard"), ("fail_hard", "fail_hard")]
     assert one(spark, "fetch it", pages.transient_error(F.col("x"), cause=F.lit("Socket Hang Up"))) is True and one(spark, None, pages.transient_error(F.col("x"), F.col("x"))) is False
+
+
+def test_scaled_money_rounds_halves_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from basalt.plans import catalogue
+
+    where = str(tmp_path / "customer.parquet")
+    amounts = spark.createDataFrame([(i, x) for i, x in enumerate((9825.0, 8495.0, 9325.0, 2675.0, 1005.0, 125.0, 0.0, 9999.99))], "c_custkey long, c_acctbal double")
+    amounts.coalesce(1).write.parquet(where)
+    wanted = duckdb.connect().sql(catalogue.SQL["parse_money_scaled"].replace("FROM customer", f"FROM '{where}/*.parquet'")).fetchall()
+    assert sorted(map(tuple, catalogue.parse_money_scaled(spark, str(tmp_path)).collect())) == sorted(wanted)
