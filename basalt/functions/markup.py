@@ -243,11 +243,11 @@ def filled(x: Column) -> Column:
     return F.when(x != "", x)
 
 
-def body(dom: Column) -> Column:
-    """The text of the page's body, or of all where there is no body."""
+def body(dom: Column, between: str = "") -> Column:
+    """The text of the page's body, or of all where there is no body; ``between`` parts its pieces."""
     found = first(select(dom["elements"], "body"))
-    every = F.array_join(F.transform(F.filter(dom["pieces"], lambda p: p["kind"] == 0), lambda p: p["s"]), "")
-    return F.when(found["at"].isNotNull(), text(dom, found)).otherwise(every)
+    pieces = F.when(found["at"].isNotNull(), _own(dom, found)).otherwise(dom["pieces"])
+    return F.array_join(F.transform(F.filter(pieces, lambda p: p["kind"] == 0), lambda p: p["s"]), between)
 
 
 def pairs(dom: Column, rows: Column, label: str, value: str, but: str) -> Column:

@@ -170,7 +170,7 @@ def captioned(pages: DataFrame, url: str = "url", html: str = "html", site: str
     address = F.col(f"_row.{url}")
     own_id = url_rules.reference(address, rules)["external_id"]
     captions = _all("h2, h3, dt, th, strong, label, div, span")
-    whole = {"body": markup.body(_dom()), "captions": F.filter(F.transform(captions, lambda e: F.struct(F.lower(trimmed(text(_dom(), e))).alias("label"), text(_dom(), markup.next_sibling(_dom(), e)).alias("value"))), lambda p: p["label"].isin("asking price", "cash flow", "sales"))}
+    whole = {"body": markup.body(_dom()), "parted": markup.body(_dom(), "\x01"), "captions": F.filter(F.transform(captions, lambda e: F.struct(F.lower(trimmed(text(_dom(), e))).alias("label"), text(_dom(), markup.next_sibling(_dom(), e)).alias("value"))), lambda p: p["label"].isin("asking price", "cash flow", "sales"))}
     body, pairs = _f("body"), _f("captions")
 
     def amount(caption: str) -> Column:
@@ -184,7 +184,8 @@ def captioned(pages: DataFrame, url: str = "url", html: str = "html", site: str
     named = F.when(F.length(_line(profile)) < 120, _line(profile))
     crumbs = F.transform(_all("a[href*='-businesses-for-sale'], nav a"), lambda e: trimmed(text(_dom(), e)))
     told = first(F.filter(_all("section, article, .listing, main"), lambda e: text(_dom(), e).rlike("(?i)business for sale details")))
-    number = F.regexp_extract(body, r"(?i)LISTING ID\s*#\s*(\d+)", 1)
+    # A number ends with its piece of text: what follows in the next element, without a space, is another one.
+    number = F.regexp_extract(_f("parted"), r"(?i)LISTING\x01* \x01*ID[\s\x01]*#[\s\x01]*(\d+)", 1)
     fields = {
         "title": _text(_one("h1")), "asking_price": amount("Asking Price"), "cash_flow": amount("Cash Flow"), "revenue": amount("Sales"), **_place(place),
         "industry": filled(trimmed(F.regexp_replace(F.get(F.filter(crumbs, lambda x: x.rlike("(?i)businesses for sale")), F.lit(0)), r"(?i)\s+for sale$", ""))),
@@ -194,7 +195,7 @@ def captioned(pages: DataFrame, url: str = "url", html: str = "html", site: str
         "by_broker": F.when(body.rlike(r"(?i)represented by broker\?\s*yes"), True),
         "external_id": own_id, "listing_id": F.coalesce(filled(number), own_id),
     }
-    return _parsed(pages, html, [whole, fields], into, hidden=("body", "captions"))
+    return _parsed(pages, html, [whole, fields], into, hidden=("body", "parted", "captions"))
 
 
 def facts(pages: DataFrame, url: str = "url", html: str = "html", site: str = "businessbroker", into: str = "listing") -> DataFrame:

@@ -176,3 +176,9 @@ def test_normal_forms_ids_and_pages(spark):
     keys = spark.createDataFrame([("https://w.example/x-businesses-for-sale/1/",), ("https://w.example/x-businesses-for-sale?page=1",)], "url string").select(url_rules.page_key("url", forms["bizbuysell", "catalog"])).distinct()
     assert keys.count() == 1
     assert spark.createDataFrame([("https://www.bizbuysell.com/x",), ("http://bizbuysell.com",), ("https://o.example/www.bizbuysell.com/",)], "u string").select(url_rules.mobile("u", "bizbuysell.com")).collect() == [("https://m.bizbuysell.com/x",), ("http://m.bizbuysell.com",), ("https://o.example/www.bizbuysell.com/",)]
+
+
+@pytest.mark.parametrize("said", ["<p>LISTING ID # 381</p>56.187 in all", "<b>Listing ID</b> #<i>381</i><h2>56 rooms</h2>", "<div>LISTING <b>ID</b># <u>381</u></div><div>4</div>"])
+def test_a_listing_number_ends_with_its_element(spark, said):
+    html = f"<html><body><h1>Inn</h1>{said}</body></html>"
+    assert parsed(spark, listing_pages.captioned, html, "https://dealstream.com/d/biz-sale/inn/9m25ky", "listing")["listing_id"] == "381"
