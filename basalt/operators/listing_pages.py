@@ -233,7 +233,7 @@ def facts(pages: DataFrame, url: str = "url", html: str = "html", site: str = "b
 
 def classed(pages: DataFrame, url: str = "url", html: str = "html", site: str = "bizquest", into: str = "listing") -> DataFrame:
     """Pages whose fields have classes or test names; the price's class comes before the first amount of the markup, that
-    before the linked data's offers."""
+    before the linked data's offers. Several dollar signs in a row are no amount's."""
     address, raw = F.col(f"_row.{url}"), F.col("_html")
     ld = linked_data.offers(F.col("_ld"))
     listed = F.coalesce(url_rules.reference(address, [r for r in url_rules.SITES if r.site == site])["external_id"], trimmed(markup.attr(_one("[data-listing-id]"), "data-listing-id")))
@@ -245,7 +245,7 @@ def classed(pages: DataFrame, url: str = "url", html: str = "html", site: str =
     fields = {
         "title": F.coalesce(_text(_one("h1")), filled(ld["title"]), filled(trimmed(markup.attr(_one("meta[property='og:title']"), "content")))),
         "asking_price": F.coalesce(
-            parse.money_rounded(text(_dom(), _one("[data-testid='asking-price']"))), parse.money_rounded(text(_dom(), _one(".listing-price, .price, .asking-price"))), amount(r"\$\s*([\d,]+(?:\.\d{2})?)"), ld["price"]
+            parse.money_rounded(text(_dom(), _one("[data-testid='asking-price']"))), parse.money_rounded(text(_dom(), _one(".listing-price, .price, .asking-price"))), amount(r"(?<!\$)\$\s*([\d,]+(?:\.\d{2})?)"), ld["price"]
         ),
         "revenue": amount(r"(?i)revenue[:\s]*\$?\s*([\d,]+(?:\.\d{2})?)"),
         "cash_flow": amount(r"(?i)cash\s*flow[:\s]*\$?\s*([\d,]+(?:\.\d{2})?)"),

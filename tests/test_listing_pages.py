@@ -182,3 +182,9 @@ def test_normal_forms_ids_and_pages(spark):
 def test_a_listing_number_ends_with_its_element(spark, said):
     html = f"<html><body><h1>Inn</h1>{said}</body></html>"
     assert parsed(spark, listing_pages.captioned, html, "https://dealstream.com/d/biz-sale/inn/9m25ky", "listing")["listing_id"] == "381"
+
+
+def test_signs_in_a_row_are_no_price(spark):
+    html = CLASSED.replace("<p>Cash flow: $80,000. Revenue: $400,000</p>", "<p>Rean$$$ 1142126282388588 du%%%</p>")
+    assert html != CLASSED
+    assert parsed(spark, listing_pages.classed, html, "https://www.bizquest.com/business-for-sale/x/BW1/", "listing")["asking_price"] == 350000
