@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out evenly, for costly work on each: a small file, or one with few row groups, would be read by few tasks."""
+    spark = rows.sparkSession
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def evidence(rows: DataFrame, adapter: str, content: str) -> DataFrame:
     """One row for each content of an adapter, under its hash."""
     keyed = rows.select(F.col(adapter).alias("adapter"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"), F.col(content).alias("content"))
