@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from basalt.operators import fulltext, search
 from basalt.plans.catalogue import parts, query
+from basalt.sources.tables import spread
 
 FIELDS = [("title", "A", True), ("place", "B", True), ("document", "C", True), ("source", "D", False)]
 
 
 def documents(spark, sf_dir):
-    return parts(spark, sf_dir).select(
+    return spread(parts(spark, sf_dir)).select(
         "p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("place"), F.concat(F.lit("The "), F.col("p_name"), F.lit(", sold by the "), F.lower("p_type"), F.lit(" of a "), F.element_at(F.split("p_name", " "), -1)).alias("document"), F.col("p_brand").alias("source")
     )
 
