@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from basalt.functions import markup, url_rules
 from basalt.operators import linked_data, listing_pages
 from basalt.plans.catalogue import query
-from basalt.sources.tables import table
+from basalt.sources.tables import spread, table
 
 _ENTITIES = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&copy;', '©', 'g'), '&middot;', '·', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
 
@@ -34,7 +34,7 @@ def listed(spark, sf_dir, block, link):
     # The block goes in by position, as it may hold what a replacement would read as a group.
     at = F.instr("html", "<article>") + 8
     html = F.concat(F.expr("left(html, instr(html, '<article>') + 8)"), block, F.substring("html", at + 1, F.length("html")))
-    return pages.select("page_id", link.alias("url"), html.alias("html"))
+    return spread(pages.select("page_id", link.alias("url"), html.alias("html")))
 
 
 def text(*parts):
@@ -157,7 +157,7 @@ def linked_data_types(spark, sf_dir):
     graph = F.to_json(F.struct(F.array(F.struct(F.lit("LocalBusiness").alias("@type"), place.alias("address"))).alias("@graph")))
     crumbs = F.to_json(F.struct(F.lit("BreadcrumbList").alias("@type"), F.array(*(F.struct(F.struct(x.alias("name")).alias("item")) for x in (F.lit("Site"), F.col("p_type"), F.lit("Nevada Businesses For Sale"), F.col("p_name")))).alias("itemListElement")))
     html = text(*(x for block in (product, graph, crumbs, again) for x in ("<script type='application/ld+json'>", block, "</script>")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", linked_data.objects(html).alias("ld"))
+    rows = spread(table(spark, sf_dir, "part")).select("p_partkey", linked_data.objects(html).alias("ld"))
     found = linked_data.listing(F.col("ld"), "Site")
     return rows.select("p_partkey", *(found[k].alias(k) for k in ("title", "category", "description", "city", "state", "location")), F.array_join(found["categories"], ",").alias("categories"))
 
