@@ -20,22 +20,28 @@ from basalt.sources.shared import settled
 _REFS = "array<struct<key:string,url:string>>"
 
 
-def visited(pages: DataFrame, starts: DataFrame) -> DataFrame:
-    """``walk, page, position``: the pages of the walks from ``starts`` (``walk, page``), counted from 0."""
+def visited(pages: DataFrame, starts: DataFrame, most: int = 0) -> DataFrame:
+    """``walk, page, position``: the pages of the walks from ``starts`` (``walk, page``), counted from 0; with ``most``, each walk's
+    first pages alone, and only as many rounds as these take.
+
+    Tables of a round have as many rows as there are pages, so their joins are shuffled: broadcast, each would pass through
+    the driver in every round."""
     own = pages.filter("walk IS NOT NULL AND page IS NOT NULL").groupBy("walk", "page").agg(F.min("next").alias("next"))
     known = settled(own)
     real = known.select("walk", F.col("page").alias("next"))
-    jump = settled(known.filter("next IS NOT NULL AND next <> page").join(real, ["walk", "next"], "left_semi").select("walk", "page", "next"))
-    found = settled(starts.select("walk", "page").distinct().join(known.select("walk", "page"), ["walk", "page"], "left_semi").withColumn("position", F.lit(0).cast("long")))
+    jump = settled(known.filter("next IS NOT NULL AND next <> page").join(real.hint("merge"), ["walk", "next"], "left_semi").select("walk", "page", "next"))
+    found = settled(starts.select("walk", "page").distinct().join(known.select("walk", "page").hint("merge"), ["walk", "page"], "left_semi").withColumn("position", F.lit(0).cast("long")))
     step = 1
     while True:
-        ahead = found.join(jump, ["walk", "page"]).select("walk", F.col("next").alias("page"), (F.col("position") + step).alias("position"))
+        if 0 < most <= step:
+            return found.filter(F.col("position") < most)
+        ahead = found.join(jump.hint("merge"), ["walk", "page"]).select("walk", F.col("next").alias("page"), (F.col("position") + step).alias("position"))
         both = settled(found.unionByName(ahead).groupBy("walk", "page").agg(F.min("position").alias("position")))
         if both.count() == found.count():
             return both
         found = both
         far = jump.select("walk", F.col("page").alias("next"), F.col("next").alias("_far"))
-        jump = settled(jump.join(far, ["walk", "next"]).select("walk", "page", F.col("_far").alias("next")))
+        jump = settled(jump.join(far.hint("merge"), ["walk", "next"]).select("walk", "page", F.col("_far").alias("next")))
         step *= 2
 
 
@@ -47,9 +53,9 @@ def walked(pages: DataFrame, starts: DataFrame, known: DataFrame | None = None,
     asked for; 0 for any number), ``blocked``, ``empty``, or ``end``. References: ``walk, key, url, position``, each key once,
     at its first place. ``known`` (``walk, key``) and ``fetched`` (``walk, pages``) are what a walk had before it was
     resumed: known keys are not new, and pages are counted on."""
-    where = visited(pages, starts)
+    where = visited(pages, starts, most_pages)  # pages beyond the most that are asked for are none of the walk's
     before = where.join(fetched, "walk", "left").withColumn("position", F.col("position") + F.coalesce("pages", F.lit(0))).drop("pages") if fetched is not None else where
-    content = pages.groupBy("walk", "page").agg(F.min_by(F.struct("refs", "blocked"), F.struct(F.col("next").isNotNull(), "next")).alias("c"))
+    content = pages.join(where.select("walk", "page"), ["walk", "page"], "left_semi").groupBy("walk", "page").agg(F.min_by(F.struct("refs", "blocked"), F.struct(F.col("next").isNotNull(), "next")).alias("c"))
     rows = settled(before.join(content, ["walk", "page"]).select("walk", "page", "position", F.coalesce("c.refs", F.array().cast(_REFS)).alias("refs"), "c.blocked"))
     each = rows.select("walk", "position", F.posexplode("refs").alias("at", "r")).select("walk", "position", "at", "r.key", "r.url").filter(F.col("key").isNotNull())
     first = each.groupBy("walk", "key").agg(F.min(F.struct("position", "at", "url")).alias("f"))

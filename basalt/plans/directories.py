@@ -8,6 +8,7 @@ from basalt.functions import markup
 from basalt.operators import directories, walks
 from basalt.plans.catalogue import query
 from basalt.plans.listings import number, text
+from basalt.sources.shared import settled
 from basalt.sources.tables import table
 
 
@@ -70,6 +71,6 @@ def catalog_walks(spark, sf_dir):
     key = number(F.when(page % 4 == 3, F.col("n") - 10).otherwise(F.col("n")))
     refs = rows.select("walk", page.alias("p"), F.struct(key.alias("key"), text("https://a.example/", key).alias("url")).alias("r"))
     pages = refs.groupBy("walk", "p").agg(F.array_sort(F.collect_list("r")).alias("refs"))
-    pages = pages.select("walk", number(F.col("p")).alias("page"), number(F.col("p") + 1).alias("next"), "refs", F.lit(None).cast("string").alias("blocked"))
+    pages = settled(pages.select("walk", number(F.col("p")).alias("page"), number(F.col("p") + 1).alias("next"), "refs", F.lit(None).cast("string").alias("blocked")))
     kept, _ = walks.walked(pages, pages.select("walk").distinct().withColumn("page", F.lit("0")), most_pages=30)
     return kept.select("walk", "position", "n_refs", "n_new", "reason")

@@ -103,3 +103,32 @@ def test_no_pages(spark):
     none = spark.createDataFrame([], SCHEMA)
     kept, refs = walks.walked(none, spark.createDataFrame([("w", "p")], "walk string, page string"), stale=1, most_refs=2)
     assert kept.count() == 0 and refs.count() == 0 and walks.visited(none, none.select("walk", F.col("page"))).count() == 0
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """The plans and numbers of rows of the tables that a walk writes."""
+    found, write = [], walks.settled
+
+    def noted(df):
+        out = write(df)
+        found.append((df._jdf.queryExecution().executedPlan().toString(), out.count()))
+        return out
+
+    monkeypatch.setattr(walks, "settled", noted)
+    return found
+
+
+def test_rounds_send_no_pages_through_the_driver(spark, written):
+    pages = spark.createDataFrame([(w, f"p{i}", f"p{i + 1}", None, None) for w in ("a", "b") for i in range(40)], SCHEMA)
+    starts = spark.createDataFrame([("a", "p0"), ("b", "p7")], "walk string, page string")
+    got = sorted((r.walk, r.position, r.page) for r in walks.visited(pages, starts).collect())
+    assert got == [("a", i, f"p{i}") for i in range(40)] + [("b", i, f"p{i + 7}") for i in range(33)]
+    assert len(written) > 10 and not any("Broadcast" in plan for plan, _ in written)
+
+
+def test_a_limit_of_pages_bounds_the_rounds(spark, written):
+    pages = spark.createDataFrame([("a", f"p{i}", f"p{i + 1}", [("k", "u")], None) for i in range(200)], SCHEMA)
+    kept, refs = walks.walked(pages, spark.createDataFrame([("a", "p0")], "walk string, page string"), most_pages=5)
+    assert sorted((r.position, r.n_new, r.reason) for r in kept.collect()) == [(i, int(i == 0), "pages" if i == 4 else None) for i in range(5)]
+    assert refs.count() == 1 and len(written) <= 3 + 2 * 3 + 3 and written[-3][1] == 5  # of 200 pages, the content of five
