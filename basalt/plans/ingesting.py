@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from basalt.functions import text, urls
 from basalt.operators import records
 from basalt.plans.catalogue import BARE_SQL, BODY_SQL, ID_SQL, NORM_SQL, parts, query
-from basalt.sources.shared import scratch
-from basalt.sources.tables import table
+from basalt.sources.shared import scratch, settled
+from basalt.sources.tables import spread, table
 from basalt.streaming import records as streaming
 
 #: Page by page: the keys so far, where they point, and the representatives' fingerprints.
@@ -25,7 +25,7 @@ _ONE_BY_ONE = f"""WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY page_i
 
 def page_records(spark, sf_dir):
     """A page's keys in the order of lookup: its number at its host, its address, its title."""
-    rows = table(spark, sf_dir, "pages")
+    rows = spread(table(spark, sf_dir, "pages"))
     number = F.concat(urls.bare_host("url"), F.lit("/"), urls.external_id("url"))
     keys = F.array_compact(F.array(number, F.concat(F.lit("url "), urls.normalized("url")), F.concat(F.lit("title "), F.regexp_extract("html", "<title>(.*?)</title>", 1))))
     return rows.select(F.col("page_id").alias("seq"), F.col("page_id").cast("string").alias("id"), keys.alias("keys"), text.body_fingerprint("html").alias("fingerprint"))
@@ -55,12 +55,11 @@ def ingest_members(spark, sf_dir):
 @query(f"{_ONE_BY_ONE} SELECT seq, canonical, action, content_updated FROM s WHERE i > 0")
 def ingest_stream(spark, sf_dir):
     """The same pages through a stream of three batches, whose state is what the batches before have written."""
-    path, rows = scratch(spark, "ingest"), page_records(spark, sf_dir).withColumn("title", F.lit(""))
+    path = scratch(spark, "ingest")
+    rows = settled(page_records(spark, sf_dir).withColumn("title", F.lit("")))  # pages are parsed once, by all tasks
     cuts = rows.agg(F.max("seq")).first()[0] or 0
-    for k in range(3):  # files of their own, in order
-        rows.filter(F.floor(F.col("seq") * 3 / (cuts + 1)) == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    streaming.run_batches(stream, streaming.ingest_batch(f"{path}/state"), f"{path}/checkpoint")
+    loads = (rows.filter(F.floor(F.col("seq") * 3 / (cuts + 1)) == k) for k in range(3))
+    streaming.run_loads(loads, streaming.ingest_batch(f"{path}/state"), path)
     return streaming.decisions(spark, f"{path}/state")
 
 
@@ -77,9 +76,6 @@ def index_follows_records(spark, sf_dir):
         rows.filter("p_size > 25").select("p_partkey", F.concat(F.lit("bright "), "title").alias("title"), F.lit(False).alias("deleted"), F.lit(1).alias("version")),
         rows.filter("p_size % 10 = 0").select("p_partkey", "title", F.lit(True).alias("deleted"), F.lit(2).alias("version")),
     ]
-    for load in loads:
-        load.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(loads[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    streaming.run_batches(stream, streaming.index_batch(f"{path}/index", "p_partkey", [("title", "A", True)]), f"{path}/checkpoint")
+    streaming.run_loads(loads, streaming.index_batch(f"{path}/index", "p_partkey", [("title", "A", True)]), path)
     found = streaming.index(spark, f"{path}/index", "p_partkey")
     return found.groupBy("term").agg(F.count("*").alias("n_records"), F.sum("p_partkey").alias("keys"))

@@ -6,7 +6,7 @@ the parts before it alone and writes its part anew, so the tables hold every bat
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -86,6 +86,14 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_loads(loads: Iterable[DataFrame], each: Callable[[DataFrame, int], None], path: str) -> None:
+    """Loads that come one after another under a path, each a batch of its own: the stream runs over what is new after each, by
+    however many tasks it was written."""
+    for load in loads:
+        load.write.mode("append").parquet(f"{path}/in")
+        run_batches(load.sparkSession.readStream.schema(load.schema).parquet(f"{path}/in"), each, f"{path}/checkpoint")
+
+
 _REF, _PAGE = "walk string, key string, url string, position long", "walk string, page string, position long, reason string"
 
 
