@@ -69,13 +69,15 @@ def source_record(id_: Column, adapter: Column, url: Column, listing: Column, na
     return F.struct(id_.alias("id"), adapter.alias("adapter"), url.alias("url"), known.alias("external_id"), F.lit(None).cast("string").alias("canonical_id"), F.struct(*fields).alias("parsed"), at.alias("first_seen"), at.alias("last_seen"))
 
 
-def deal_documents(sources: DataFrame, deal: str, position: str, representative: str) -> DataFrame:
+def deal_documents(sources: DataFrame, deal: str | list[str], position: str, representative: str) -> DataFrame:
     """One search document a deal out of its sources (``adapter, url, title, city, state, industry, broker_name,
     asking_price``): the sources' adapters, the first title in order, the place of the representative (else of the first),
-    and all of it with industries, brokers, addresses and prices as one text. Deals without sources have none."""
+    and all of it with industries, brokers, addresses and prices as one text. Deals without sources have none. Sources at one
+    position are in the order of their fields, whichever stands for the deal."""
+    by = [deal] if isinstance(deal, str) else deal
     names = ("adapter", "url", "title", "city", "state", "industry", "broker_name", "asking_price")
-    entry = F.struct(F.col(position).alias("at"), F.coalesce(representative, F.lit(False)).alias("rep"), *names)
-    rows = sources.groupBy(deal).agg(F.array_sort(F.collect_list(entry)).alias("s"))  # a deal's own sources
+    entry = F.struct(F.col(position).alias("at"), *names, F.coalesce(representative, F.lit(False)).alias("rep"))
+    rows = sources.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("s"))  # a deal's own sources
 
     def filled(x: Column) -> Column:
         return F.when(x != "", x)
@@ -89,4 +91,4 @@ def deal_documents(sources: DataFrame, deal: str, position: str, representative:
     price = F.col("s").getField("asking_price")
     shown = F.transform(F.filter(price, lambda p: p.isNotNull()), lambda p: F.regexp_replace(p.cast("decimal(38,6)").cast("string"), r"\.?0+$", ""))
     parts = F.concat(F.array(title, place), each(lambda x: filled(x["industry"])), each(lambda x: filled(x["broker_name"])), each(lambda x: filled(x["url"])), shown)
-    return rows.select(deal, F.array_sort(F.array_distinct(each(lambda x: x["adapter"]))).alias("adapters"), title.alias("title"), place.alias("location"), F.array_join(F.filter(parts, lambda x: x.isNotNull()), " ").alias("document"))
+    return rows.select(*by, F.array_sort(F.array_distinct(each(lambda x: x["adapter"]))).alias("adapters"), title.alias("title"), place.alias("location"), F.array_join(F.filter(parts, lambda x: x.isNotNull()), " ").alias("document"))

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from basalt.functions import web_urls
 from basalt.operators import artifacts, keys
+from basalt.plans.artifacts import deal_documents
+from basalt.plans.catalogue import SQL
 
 FORMS = [
     ("https://A.Example/x?b=2&a=1#f", "https://a.example/x?a=1&b=2"), ("not a url", "not a url"), ("http://a.example", "http://a.example/"), ("HTTP://a.example:80/x", "http://a.example/x"), ("http://a.example:443/", "http://a.example:443/"),
@@ -56,3 +58,22 @@ def test_documents_of_deals(spark):
     df = spark.createDataFrame(rows, "d int, p int, r boolean, adapter string, url string, title string, city string, state string, industry string, broker_name string, asking_price double")
     got = {r.d: (r.adapters, r.title, r.location, r.document) for r in artifacts.deal_documents(df, "d", "p", "r").collect()}
     assert got == {1: (["a", "b"], "Third", "Reno, NV", "Third Reno, NV shops Bo u1 u2 u3 5.5 10000000"), 2: (["c"], None, None, "")}
+
+
+def test_lines_at_the_last_position_each_give_a_row(spark, tmp_path):
+    """Part keys above a million share positions with those of the next line number. The SQL leaves the order of such lines within a
+    text open (``document_sha256``, and a title that both have), not their rows. A line without a part is no source."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"""COPY (SELECT p_partkey, 'n' || p_partkey AS p_name, 'b' || p_partkey AS p_brand, 't' || p_partkey AS p_type, CAST(p_partkey % 7 + 1 AS INTEGER) AS p_size
+        FROM (SELECT unnest([3, 5, 8, 1000005]) AS p_partkey)) TO '{tmp_path}/part.parquet'""")
+    con.sql(f"""COPY (SELECT l[1] AS l_orderkey, l[2]::INTEGER AS l_linenumber, l[3] AS l_partkey FROM (SELECT unnest([[1, 1, 3], [1, 1, 1000005], [1, 2, 5], [2, 1, 1000005], [2, 2, 5], [2, 3, 8],
+        [3, 1, 3], [3, 2, 8], [3, 7, 99], [NULL, 1, 3], [4, 6, 3], [4, 6, 3]]::BIGINT[][]) AS l)) TO '{tmp_path}/lineitem.parquet'""")
+    for name in ("part", "lineitem"):
+        con.sql(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet'")
+    got = deal_documents(spark, str(tmp_path)).collect()
+    want = con.sql(f"SELECT l_orderkey, adapters, title, location, document_sha256 FROM ({SQL["deal_documents"]})").fetchall()
+    assert sorted(str((r.l_orderkey, r.adapters, r.location)) for r in got) == sorted(str((r[0], r[1], r[3])) for r in want)
+    assert [r.l_orderkey for r in sorted(got, key=lambda r: r.l_orderkey)] == [1, 1, 2, 3, 4] and len({r.location for r in got if r.l_orderkey == 1}) == 2
+    assert {tuple(r) for r in got if r.l_orderkey > 2} == {r for r in want if r[0] > 2}
