@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -152,35 +154,25 @@ def _compound(selector: str):
     return test
 
 
+def held(x: Column, of) -> Column:
+    """``of(x)``, with ``x`` computed once however often ``of`` names it."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
 def select(elements: Column, selector: str) -> Column:
-    """The elements that a selector names, in document order: tags, ids, classes, attributes, descendants, commas."""
+    """The elements that a selector names, in document order: tags, ids, classes, attributes, descendants, commas. All its ways
+    are tests of one pass over the elements; what a descendant lies in is selected once, before that pass."""
     ways = [[_compound(part) for part in way.split()] for way in selector.split(",")]
 
-    def found(way: list) -> Column:
-        *outer, test = way
+    def found(ways: list, tests: list) -> Column:
+        if not ways:
+            return F.filter(elements, lambda e: reduce(or_, (t(e) for t in tests)))
+        *outer, test = ways[0]
         if not outer:
-            return F.filter(elements, test)
-        around = found(outer)
-        return F.filter(elements, lambda e: test(e) & F.exists(around, lambda o: (o["at"] < e["at"]) & (e["at"] <= o["last"])))
-
-    if all(len(way) == 1 for way in ways):
-
-        def any_of(e: Column) -> Column:
-            out = ways[0][0](e)
-            for way in ways[1:]:
-                out = out | way[0](e)
-            return out
-
-        return F.filter(elements, any_of)
-    all_ = [found(way) for way in ways]
-    return all_[0] if len(all_) == 1 else _merged(all_)
-
+            return found(ways[1:], [*tests, test])
+        return held(found([outer], []), lambda around: found(ways[1:], [*tests, lambda e: test(e) & F.exists(around, lambda o: (o["at"] < e["at"]) & (e["at"] <= o["last"]))]))
 
-def _merged(parts: list[Column]) -> Column:
-    """Union of selections in document order."""
-    places = F.array_sort(F.array_distinct(F.concat(*(F.transform(p, lambda e: e["at"]) for p in parts))))
-    both = F.concat(*parts)
-    return F.transform(places, lambda at: F.get(F.filter(both, lambda e: e["at"] == at), F.lit(0)))
+    return found(ways, [])
 
 
 def first(elements: Column) -> Column:

@@ -260,30 +260,52 @@ def classed(pages: DataFrame, url: str = "url", html: str = "html", site: str =
 
 
 def plain(pages: DataFrame, html: str = "html", into: str = "listing") -> DataFrame:
-    """Pages of any broker's own site: amounts after their words in the running text, fields by what classes are called."""
-    whole = {"body": F.regexp_replace(markup.body(_dom()), f"{markup.WS}+", " ")}
-    body = _f("body")
+    """Pages of any broker's own site: amounts after their words in the running text, fields by what classes are called. Elements,
+    texts and what matches are steps of their own, as the fields name each more than once."""
+    found = {
+        "body": F.regexp_replace(markup.body(_dom()), f"{markup.WS}+", " "),
+        "h1": _one("h1"), "shared": _one('meta[property="og:title"]'), "tab": _one("title"),
+        "where": _one("[class*='location'], .location, [itemprop='address']"),
+        "near": _one("article p, .description, [class*='description'], [itemprop='description']"),
+        "trade": _one("[class*='industry'], .industry, [itemprop='industry']"),
+        "agent": _one("[class*='broker'], .broker-name"),
+    }
 
-    def amount(pattern: str) -> Column:
-        return parse.money_scaled(filled(F.regexp_extract(body, pattern, 0)))
+    def said(pattern: str) -> Column:
+        return F.regexp_extract(_f("body"), pattern, 0)
+
+    texts = {x: trimmed(text(_dom(), _f(x))) for x in ("h1", "tab", "where", "trade", "agent")} | {
+        "shared": trimmed(markup.attr(_f("shared"), "content")),
+        "near": squeezed(text(_dom(), _f("near"))),
+        "asked": said(r"(?i)(?:asking|price|list(?:ed)?)\s*(?:price)?[:\s]*\$[\d,]+(?:\.\d{2})?"),
+        "any": said(r"\$[\d,]+(?:\.\d{2})?"),
+        "earned": said(r"(?i)(?:gross\s+)?revenue[:\s]*\$[\d,]+"),
+        "kept": said(r"(?i)(?:cash\s+flow|sde|ebitda)[:\s]*\$[\d,]+"),
+    }
+
+    def amount(x: str) -> Column:
+        return parse.money_scaled(filled(_f(x)))
 
-    asked = amount(r"(?i)(?:asking|price|list(?:ed)?)\s*(?:price)?[:\s]*\$[\d,]+(?:\.\d{2})?")
-    place = trimmed(F.coalesce(_text(_one("[class*='location'], .location, [itemprop='address']")), filled(F.regexp_extract(body, "(?i)location[:\\s]*([A-Za-z0-9 ,.-]{3,60})", 1))))
+    read = {
+        "asked": amount("asked"),
+        "where": trimmed(F.coalesce(filled(_f("where")), filled(F.regexp_extract(_f("body"), "(?i)location[:\\s]*([A-Za-z0-9 ,.-]{3,60})", 1)))),
+        "tab": trimmed(F.substring_index(filled(_f("tab")), "|", 1)),
+    }
+    asked, place, near = _f("asked"), _f("where"), filled(_f("near"))
     us = r"([A-Za-z .'-]+),\s*([A-Z]{2})\b"
-    near = _line(_one("article p, .description, [class*='description'], [itemprop='description']"))
     fields = {
-        "title": F.coalesce(_text(_one("h1")), filled(trimmed(markup.attr(_one('meta[property="og:title"]'), "content"))), filled(trimmed(F.substring_index(_text(_one("title")), "|", 1)))),
-        "asking_price": F.when(F.coalesce(asked, F.lit(0.0)) != 0, asked).otherwise(F.coalesce(amount(r"\$[\d,]+(?:\.\d{2})?"), asked)),
-        "revenue": amount(r"(?i)(?:gross\s+)?revenue[:\s]*\$[\d,]+"),
-        "cash_flow": amount(r"(?i)(?:cash\s+flow|sde|ebitda)[:\s]*\$[\d,]+"),
+        "title": F.coalesce(*(filled(_f(x)) for x in ("h1", "shared", "tab"))),
+        "asking_price": F.when(F.coalesce(asked, F.lit(0.0)) != 0, asked).otherwise(F.coalesce(amount("any"), asked)),
+        "revenue": amount("earned"),
+        "cash_flow": amount("kept"),
         "city": F.when(place.rlike(us), trimmed(F.regexp_extract(place, us, 1))),
         "state": F.when(place.rlike(us), F.regexp_extract(place, us, 2)).when(place.rlike("^[A-Z]{2}$"), place),
         "location": filled(place),
-        "industry": _text(_one("[class*='industry'], .industry, [itemprop='industry']")),
+        "industry": filled(_f("trade")),
         "description": F.substring(F.when(F.length(near) > 40, near), 1, 4000),
-        "broker_name": _text(_one("[class*='broker'], .broker-name")),
+        "broker_name": filled(_f("agent")),
     }
-    return _parsed(pages, html, [whole, fields], into, hidden=("body",))
+    return _parsed(pages, html, [found, texts, read, fields], into, hidden=tuple({**found, **texts}))
 
 
 def _cards(scope: Column, base: str, rules) -> Column:
