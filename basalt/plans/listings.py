@@ -31,10 +31,11 @@ def money(x):
 def listed(spark, sf_dir, block, link):
     """Pages with a record and a broker each, whose ``block`` stands in the article, at the address ``link``."""
     pages = table(spark, sf_dir, "pages").join(table(spark, sf_dir, "part"), F.col("page_id") == F.col("p_partkey")).join(table(spark, sf_dir, "supplier"), F.col("page_id") % 10 == F.col("s_suppkey"))
+    pages = spread(pages)  # before the block goes in, as that costs more than reading the page
     # The block goes in by position, as it may hold what a replacement would read as a group.
     at = F.instr("html", "<article>") + 8
     html = F.concat(F.expr("left(html, instr(html, '<article>') + 8)"), block, F.substring("html", at + 1, F.length("html")))
-    return spread(pages.select("page_id", link.alias("url"), html.alias("html")))
+    return pages.select("page_id", link.alias("url"), html.alias("html"))
 
 
 def text(*parts):

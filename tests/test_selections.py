@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions import markup
 from basalt.operators import listing_pages
+from basalt.plans import listings
 
 WAYS = ["article p, .x", ".x, article p, article p", "nav li a, p, article .x", "article article p", "em, article b", "nav p, p"]
 
@@ -36,3 +37,9 @@ def test_fields_share_what_is_selected(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"filter\(_dom#\d+\.elements", plan)) <= 12  # seven selections, one of them within another, and the body, which is named four times
     assert len(re.findall(r"regexp_extract\(_x_body#", plan)) <= 6  # four amounts, and a place that is looked for where none is marked
+
+
+def test_blocks_go_in_after_pages_are_dealt_out(spark, small):
+    plan = listings.listing_plain(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Repartition ")
+    assert "<article>" in above and below and "<article>" not in below
